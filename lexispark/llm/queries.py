@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexispark.llm import exact_dedup
+from lexispark.llm import exact_dedup, language_id, simhash
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
+    "op8_language_id": language_id.op8_language_id,
 }
 
 ORACLES = {
