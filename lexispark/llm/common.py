@@ -40,7 +40,7 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
     def run() -> None:
         session = held()
-        if session is not None and session._jsc is not None and not session.sparkContext._jsc.sc().isStopped():
+        if session is not None and session.sparkContext._jsc is not None and not session.sparkContext._jsc.sc().isStopped():
             remove(session, path)
 
     atexit.register(run)

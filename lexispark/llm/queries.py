@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.llm import byte_bpe, exact_dedup, language_id, packing, quality, simhash, token_file
+from lexispark.llm import byte_bpe, exact_dedup, language_id, packing, quality, simhash, substring_dedup, token_file
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op8_language_id": language_id.op8_language_id,
     "op9_packing": packing.op9_packing,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
