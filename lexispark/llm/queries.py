@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexispark.llm import byte_bpe, exact_dedup, language_id, packing, quality, simhash, substring_dedup, token_file
+from lexispark.llm import byte_bpe, exact_dedup, language_id, packing, quality, simhash, substring_dedup, token_file, topk
 
 QUERIES = {
     "op1_token_file": token_file.op1_token_file,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_topk": topk.op4_topk,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op8_language_id": language_id.op8_language_id,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_topk": topk.SQL,
 }
