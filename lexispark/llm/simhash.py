@@ -165,41 +165,45 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print) of every row, print as a signed long; no shuffle."""
+    """(doc_id, text_hash, print) of every row, print as a signed long; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "print"])
+            found = np.fromiter((fingerprint(t) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "print"])
 
-    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, print bigint")
+    named = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return named.mapInArrow(run, "doc_id bigint, text_hash bigint, print bigint")
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, component_id) for every row of docs (doc_id, text; other columns are ignored).
+    """(doc_id, text_hash, print, root, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
-    component_id is the smallest doc_id in the component; null ids never are,
-    unless all of the component's are. Null and blank texts have fingerprint 0
-    and are linked like any other. Rows that repeat an id are rows like any
-    other; an empty table gives an empty result.
+    component_id is the smallest doc_id in the component, root its smallest
+    fingerprint. Null ids are passed over, unless all of the component's are
+    null. Null and blank texts have fingerprint 0 and are linked like any
+    other. Rows that repeat an id are rows like any other; an empty table gives
+    an empty result.
     """
     prints = stored(fingerprints(docs), "simhash")
     least = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     edges = stored(links(least), "simhash-links")
     joined = components(edges, "a", "b")  # (node, root): only nodes that have an edge
     found = least.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", "print", "component_id")
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
+    return prints.join(named, "print").select("doc_id", "text_hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id; all columns stay as they are."""
     names = docs.columns
-    found = groups(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    marked = docs.join(first.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    if not first.where("_rows > 1").isEmpty():
-        marked = marked.dropDuplicates(["doc_id"])
+    first = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("rows"))
+    first = stored(first.select("row.*", "rows"), "simhash-first")
+    marked = docs.withColumn("_hash", F.xxhash64("text")).join(
+        first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_own")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left_semi"
+    )
+    if not first.where("rows > 1").isEmpty():
+        marked = marked.dropDuplicates(["doc_id", "_hash"])  # rows that repeat both id and text: one stays
     return marked.select(*[F.col(f"`{n}`") for n in names])
 
 

@@ -290,14 +290,14 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = T
     """Every row of docs (doc_id, text) without the words that a repeated window covers.
 
     Columns: doc_id, n_words, n_removed, kept_sha256, with texts also kept (the
-    words that stay, joined by one blank; null for null texts), and those named
-    in keep as they are. Null text has no words. Texts of fewer words than a
+    words that stay, joined by one blank; null for null texts), and with keep a
+    struct `row` of the columns named there, as they are. Null text has no words. Texts of fewer words than a
     window, and empty ones, lose none. Rows that repeat an id are documents like any
     other. An empty table gives an empty result. Other columns are ignored.
     """
     if not 0 < seed <= window:
         raise ValueError("a seed has from 1 to `window` words")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept_columns") if keep else F.lit(None).cast("int").alias("kept_columns"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row") if keep else F.lit(None).cast("int").alias("row"))
     found = repeats(named, window, seed, limits).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
     joined = named.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
 
@@ -321,14 +321,13 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = T
                 names.append("kept")
             if keep:
                 arrays.append(batch.column(3))
-                names.append("kept_columns")
+                names.append("row")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts
     if keep:
-        ddl += ", kept_columns " + named.schema["kept_columns"].dataType.simpleString()
-    out = joined.select("doc_id", "text", "spans", *["kept_columns"] * bool(keep)).mapInArrow(run, ddl)
-    return out.select(*[c for c in out.columns if c != "kept_columns"], "kept_columns.*") if keep else out
+        ddl += ", row " + named.schema["row"].dataType.simpleString()
+    return joined.select("doc_id", "text", "spans", *["row"] * bool(keep)).mapInArrow(run, ddl)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
