@@ -1,11 +1,18 @@
-"""The engine's registered queries."""
+"""The engine's registered queries, by name, and the SQL they are held against."""
 
 from __future__ import annotations
 
+from lexispark.plans import functions_queries, relational, sql_queries, text_queries
+from lexispark.plans.text_queries import flagship
+
+ALL = text_queries.Q | relational.Q | functions_queries.Q | sql_queries.Q
+
+__all__ = ["ALL", "flagship", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
