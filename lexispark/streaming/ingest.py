@@ -38,15 +38,20 @@ def check_bounded(df: DataFrame) -> None:
         raise ValueError("this operation needs a bounded input")
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks stand on timestamps with a zone only."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
     """Events counted and summed by window and type; `late` is how long a window waits."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     found = marked.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return found.select(F.col("window.start").alias("begin"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """Runs of a user's events without a pause of `gap`."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    marked = _marked(events, late)
     found = marked.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return found.select("user_id", F.col("session_window.start").alias("begin"), "n")

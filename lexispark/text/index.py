@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.shared import stored
 from lexispark.text.tokenize import postings
 
 BLOCK = 512
@@ -19,13 +20,14 @@ def with_ordinals(docs: DataFrame, doc_id: str = "doc_id", first: int = 0) -> Da
     """docs with doc_ord, dense from `first` in order of doc_id.
 
     Ordinals are a range partition's rank plus what the partitions before hold,
-    so nothing is sorted in one task.
+    so nothing is sorted in one task. The ranks are written down once: ranges
+    are cut by sampling and need not come out alike a second time.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(doc_id).alias("doc_id")).distinct()
     ordered = ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
     numbered = ordered.select("doc_id", F.monotonically_increasing_id().alias("at"))
-    numbered = numbered.select("doc_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("nth"))
+    numbered = stored(numbered.select("doc_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("nth")), "ordinals")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as before")
     ords = numbered.join(before, "part").select("doc_id", (F.col("before") + F.col("nth") + first).alias("doc_ord"))
