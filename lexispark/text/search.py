@@ -64,8 +64,10 @@ def _positive_part(p: Predicate) -> Predicate:
     if isinstance(p, And):
         parts = tuple(_positive_part(x) for x in p.parts if not isinstance(x, Not) and x.positive())
         return parts[0] if len(parts) == 1 else And(parts)
-    if isinstance(p, Or | Xor):
+    if isinstance(p, Or):
         return Or(tuple(_positive_part(x) for x in p.parts))
+    if isinstance(p, Xor):
+        return Or(tuple(map(Term, sorted(p.terms()))))  # that a block has a term says nothing about a document's parity
     if isinstance(p, Term):
         return p
     raise ValueError("a bare NOT leaves every block open")

@@ -10,6 +10,7 @@ the document, in a later segment, is seen.
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ FLUSH_DOCS = 512
 POSTINGS = "seg_id int, doc_id bigint, term string, tf smallint"
 DOCS = "seg_id int, doc_id bigint"
 TOMBSTONES = "doc_id bigint, upto int"
-PENDING = "doc_id bigint, text string"
+PENDING = "doc_id bigint, text string, added bigint"
 
 
 @dataclass(frozen=True)
@@ -103,11 +104,11 @@ class SegmentedIndex:
     # changes
 
     def add_documents(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Queue documents; they are seen after a commit."""
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).write.mode("append").parquet(f"{self.path}/pending")
+        """Queue documents; they are seen after a commit. Of versions of one document queued together the last is taken."""
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(time.time_ns()).alias("added")).write.mode("append").parquet(f"{self.path}/pending")
 
     def add_document(self, doc_id: int, text: str) -> None:
-        self.add_documents(self.spark.createDataFrame([(doc_id, text)], PENDING))
+        self.add_documents(self.spark.createDataFrame([(doc_id, text)], "doc_id bigint, text string"))
 
     def pending(self) -> int:
         return self._read("pending", PENDING).count()
@@ -119,12 +120,12 @@ class SegmentedIndex:
     def flush(self) -> bool:
         """Write the pending documents as a segment, however few; False if there are none."""
         queued = self._read("pending", PENDING)
+        queued = queued.groupBy("doc_id").agg(F.max_by(F.struct("text"), "added")["text"].alias("text"))
         n = queued.count()
         if not n:
             return False
         segments = self.segments()
         seg = self._next(segments)
-        queued = queued.dropDuplicates(["doc_id"])
         self._write(seg, postings(queued), queued.select("doc_id"))
         self._publish(segments | {seg: n})
         self._drop("pending")

@@ -101,9 +101,11 @@ def test_blocks_and_bitmaps_agree_with_search(corpus, flat):
     built = indexing.build(docs).cache()
     ords = indexing.with_ordinals(docs)
     assert sorted(r.doc_ord for r in ords.select("doc_ord").collect()) == list(range(1502))
-    for text in ("ash AND birch", "ash AND (birch OR cedar)", "x OR nowhere", "ash AND NOT birch"):
+    for text in ("ash AND birch", "ash AND (birch OR cedar)", "x OR nowhere", "ash AND NOT birch", "(ash OR x) AND NOT (birch AND elm)"):
         got = searching.search_blocks(built, text).join(ords, "doc_ord").select("doc_id")
         assert {r.doc_id for r in got.collect()} == {r.doc_id for r in searching.search(flat, text).collect()}
+    both = xor(Not(Term("ash")), Not(Term("elm")))
+    assert searching.search_blocks(built, both).count() == searching.search(flat, both).count()
     assert searching.surviving_blocks(built, "x AND ash").count() == 1
     bits = indexing.bitmaps(built)
     for p in (must(["ash", "elm"]), should(["ash", "elm", "x"]), Term("fir"), must(["ash", "nowhere"])):
@@ -139,6 +141,10 @@ def test_segments(spark, tmp_path):
     before = sorted(map(tuple, index.live_postings().select("doc_id", "term", "tf").collect()))
     index.compact()
     assert index.segment_num() == 1 and sorted(map(tuple, index.live_postings().select("doc_id", "term", "tf").collect())) == before
+    index.add_document(50, "first version")
+    index.add_document(50, "second")
+    index.flush()
+    assert index.count("version") == 0 and index.count("second") == 1
     again = SegmentedIndex(spark, f"file://{tmp_path}/index")
     assert again.count("a AND again") == 1
     index.add_documents(docs([(k, f"w{k} common") for k in range(100, 620)]))
