@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, table
+from lexispark.llm.common import columns, lean, table
 
 PART_TURNS = 512
 SYSTEM = "system"
@@ -67,7 +67,7 @@ def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["conv_id", "speaker", "part", "n_turns", "rendered", "mask"])
 
-    return parts.join(speakers, "conv_id").mapInArrow(run, "conv_id bigint, speaker string, part bigint, n_turns bigint, rendered string, mask string")
+    return parts.join(speakers, "conv_id").mapInArrow(lean(run, "chat"), "conv_id bigint, speaker string, part bigint, n_turns bigint, rendered string, mask string")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,65 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.shared import scratch, shared_dir, stored
+
+__all__ = ["columns", "each", "forgets", "held_out", "lean", "partitions", "scratch", "shared_dir", "stored", "table"]
+
 #: The ASCII blanks that end a word.
 BLANK = r"[\x20\x09-\x0D]"
 #: What has to change for runs of blanks to become one space each; a lone space stays as it is.
 BLANK_RUN = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    made = "file://" + tempfile.mkdtemp(prefix="lexispark-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    held = weakref.ref(spark)
-
-    def run() -> None:
-        session = held()
-        if session is not None and session.sparkContext._jsc is not None and not session.sparkContext._jsc.sc().isStopped():
-            remove(session, path)
-
-    atexit.register(run)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the program ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/lexispark/{name}-{uuid.uuid4().hex}"
-    _drop_at_exit(spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str, sort_within: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    (df.sortWithinPartitions(*sort_within) if sort_within else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     """Partitions for a shuffle of about as many bytes as df has: at least those it is read in."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -79,3 +38,49 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# memory of Python workers: they live on after a task and serve other stages
+
+_CACHES: list = []
+_LAST = [""]
+
+
+def forgets(cached):
+    """Mark a cached function: a worker that goes over to another operator drops what it holds."""
+    _CACHES.append(cached)
+    return cached
+
+
+def _begin(operator: str) -> None:
+    if _LAST[0] != operator:
+        for cached in _CACHES:
+            cached.cache_clear()
+        _LAST[0] = operator
+        _give_back()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], operator: str) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, in a worker that keeps no memory of other operators' tasks nor of finished ones."""
+
+    def task(batches: Iterator) -> Iterator:
+        _begin(operator)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
+def each(column: pa.Array) -> Iterator:
+    """A column's values one by one, so that no batch of long texts is held twice."""
+    for k in range(len(column)):
+        yield column[k].as_py()

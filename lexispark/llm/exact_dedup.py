@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import BLANK_RUN, columns, partitions, stored, table
+from lexispark.llm.common import BLANK_RUN, columns, lean, partitions, stored, table
 
 SLOTS = 4
 KICKS = 200
@@ -206,13 +206,13 @@ def keys_of(docs: DataFrame) -> DataFrame:
 
 def groups_of(keys: DataFrame) -> DataFrame:
     """(digest, n_bytes, first_id, tie, n_rows): one row for each different text."""
-    partial = keys.select("digest", "n_bytes", F.col("doc_id").alias("first_id"), "tie", F.lit(1).cast("long").alias("n_rows")).mapInArrow(_gather, _PARTIAL_DDL)
+    partial = keys.select("digest", "n_bytes", F.col("doc_id").alias("first_id"), "tie", F.lit(1).cast("long").alias("n_rows")).mapInArrow(lean(_gather, "exact_dedup"), _PARTIAL_DDL)
     bucket = F.xxhash64("digest").bitwiseAND(0xFFFFF)
     return (
         partial.select(bucket.alias("bucket"), *partial.columns)
         .repartition(partitions(keys), "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_merge, _PARTIAL_DDL)
+        .mapInArrow(lean(_merge, "exact_dedup"), _PARTIAL_DDL)
     )
 
 

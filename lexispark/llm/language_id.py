@@ -23,13 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, held_out, table
+from lexispark.llm.common import columns, each, held_out, lean, table
 
 #: Longest context, in symbols. The table has SYMBOLS ** (ORDER + 1) entries a language.
 ORDER = 2
@@ -144,11 +143,11 @@ def train(docs: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCS) -> Model
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(256, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in each(batch.column(0)):
                 counts += np.bincount(FOLD[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(counts)], names=["byte", "n"])
 
-    seen = usable.mapInArrow(letters, "byte int, n bigint").where("byte > 0").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    seen = usable.mapInArrow(lean(letters, "language_id"), "byte int, n bigint").where("byte > 0").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0").collect()
     symbol = np.zeros(256, np.uint8)
     for k, row in enumerate(sorted(seen, key=lambda r: (-r.n, r.byte))):
         symbol[row.byte] = min(k + 1, SYMBOLS - 1)
@@ -158,7 +157,7 @@ def train(docs: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCS) -> Model
         by_lang: dict[str, np.ndarray] = {}
         for batch in batches:
             texts: dict[str, list[str]] = {}
-            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, lang in zip(*map(each, batch.columns), strict=True):
                 texts.setdefault(lang, []).append(text)
             for lang, own in texts.items():
                 counts = count_grams(own, symbol, order)
@@ -167,7 +166,7 @@ def train(docs: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCS) -> Model
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "gram", "n"])
 
-    found = usable.mapInArrow(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    found = usable.mapInArrow(lean(counted, "language_id"), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     languages = sorted(found["lang"].unique())
     nats = np.zeros((SYMBOLS ** (order + 1), len(languages)), np.float32)
     for k, lang in enumerate(languages):
@@ -185,10 +184,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = frozen.value
         for batch in batches:
-            found = [ppm.predict(t) for t in batch.column(1).to_pylist()]
+            found = [ppm.predict(t) for t in each(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "language_id"), "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -204,13 +203,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """docs without the rows whose language can't be told: no letter at all, or a best score under min_score."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    frozen = docs.sparkSession.sparkContext.broadcast(train(docs))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def told(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (lambda p: p[0] != "und" and p[1] >= min_score)(model.value.predict(t)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ppm = frozen.value
+        for batch in batches:
+            found = (ppm.predict(t) for t in each(batch.column(at)))
+            yield batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_()))
 
-    return docs.where(told(F.col("text")))
+    return docs.mapInArrow(lean(run, "language_id"), docs.schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, stored, table
+from lexispark.llm.common import columns, each, lean, stored, table
 from lexispark.llm.word_bpe import encoder
 
 LENGTH = 4096
@@ -202,7 +202,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
         schema = pa.schema(_PIECE + ([("ids", pa.binary())] if with_ids else []))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
                 ids = words.encode(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at : at + 4 * length]
@@ -211,7 +211,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
                     met[size] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    found = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECE_DDL + ", ids binary" * with_ids)
+    found = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "word_bpe"), _PIECE_DDL + ", ids binary" * with_ids)
     return stored(found, "pieces")
 
 
@@ -248,7 +248,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
 
     ranked = cut.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("base") + F.col("nth")).alias("rank"))
     ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, ddl)
+    return ranked.mapInArrow(lean(place, "packing"), ddl)
 
 
 def default_vocabulary() -> str:

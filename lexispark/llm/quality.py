@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, held_out, table
+from lexispark.llm.common import columns, each, held_out, lean, table
 
 FILTERS = 8
 WIDTH = 4
@@ -94,14 +94,12 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         net.top[:] = 0
         net.top_bias = float(np.log(p / (1 - p)))
         return net
-    rows, owner = [], []
-    for k, text in enumerate(texts):
+    rows = []
+    for text in texts:
         own = chunked(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
         most = max(1, TRAIN_BYTES // CHUNK)
         own = own if len(own) <= most else own[np.linspace(0, len(own) - 1, most).astype(int)]
         rows.append(own)
-        owner += [k] * len(own)
-    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     params = {"conv": net.conv, "bias": net.bias, "top": net.top, "top_bias": np.zeros(1)}
     mean = {k: np.zeros_like(v, np.float64) for k, v in params.items()}
@@ -168,10 +166,10 @@ def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = learned.value
         for batch in batches:
-            found = np.array([model.score(t) for t in batch.column(1).to_pylist()], np.float64)
+            found = np.array([model.score(t) for t in each(batch.column(1))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "quality"), "doc_id bigint, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

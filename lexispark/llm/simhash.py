@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, partitions, stored, table
+from lexispark.llm.common import columns, each, lean, partitions, stored, table
 from lexispark.llm.components import components
 
 RADIUS = 4
@@ -160,7 +160,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
         F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "print"
     )
     return (
-        cells.repartition(partitions(prints), "cell").sortWithinPartitions("cell").mapInArrow(_edges, "a bigint, b bigint").distinct()
+        cells.repartition(partitions(prints), "cell").sortWithinPartitions("cell").mapInArrow(lean(_edges, "links"), "a bigint, b bigint").distinct()
     )
 
 
@@ -169,11 +169,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t) for t in each(batch.column(2))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "print"])
 
     named = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return named.mapInArrow(run, "doc_id bigint, text_hash bigint, print bigint")
+    return named.mapInArrow(lean(run, "simhash"), "doc_id bigint, text_hash bigint, print bigint")
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, partitions, stored, table
+from lexispark.llm.common import columns, each, lean, partitions, stored, table
 
 WINDOW = 35
 SEED = 16
@@ -194,7 +194,7 @@ def seeds(docs: DataFrame, buckets: int, window: int, seed: int, limits: Limits)
             yield from _dealt(anchor[first], whole[first], doc[first], at[first], pa.array(ids, pa.int64()), known, buckets, anchor[first])
 
         for batch in batches:
-            for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, text_hash in zip(*map(each, batch.columns), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for begin in range(0, max(1, len(words) - window + 1), limits.step):
                     anchor, whole = windows(b" ".join(words[begin : begin + limits.step + window - 1]), window, seed)
@@ -208,7 +208,7 @@ def seeds(docs: DataFrame, buckets: int, window: int, seed: int, limits: Limits)
                         ids, hashes, parts, held = [], [], [], 0
         yield from flush()
 
-    return docs.where("text is not null").select("doc_id", "text", "text_hash").mapInArrow(run, OUT_DDL)
+    return docs.where("text is not null").select("doc_id", "text", "text_hash").mapInArrow(lean(run, "substring_dedup"), OUT_DDL)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], window: int, again: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def _compare(batches: Iterator[pa.RecordBatch], window: int, again: int, most: i
             yield from _dealt(anchor[first], whole[first], doc[first], place[first], ids, hashes, again, _mixed(whole[first] ^ anchor[first]))
 
     for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for bucket, blob in zip(each(batch.column(0)), each(batch.column(1)), strict=True):
             if bucket != at_bucket:
                 yield from flush(True)
                 at_bucket, parts, held, spilled = bucket, [], 0, False
@@ -272,8 +272,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, limits: Lim
             yield out
         yield from passed
 
-    once = stored(ordered.mapInArrow(first, OUT_DDL), "repeats")
-    spilled = once.where("bucket is not null").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(compare(0), OUT_DDL)
+    once = stored(ordered.mapInArrow(lean(first, "substring_dedup"), OUT_DDL), "repeats")
+    spilled = once.where("bucket is not null").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(compare(0), "substring_dedup"), OUT_DDL)
     found = once.where("bucket is null").unionByName(spilled)
     return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
@@ -304,7 +304,7 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(each(batch.column(1)), each(batch.column(2)), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 left, gone = words, 0
                 if spans:
@@ -327,7 +327,7 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = T
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * texts
     if keep:
         ddl += ", row " + named.schema["row"].dataType.simpleString()
-    return joined.select("doc_id", "text", "spans", *["row"] * bool(keep)).mapInArrow(run, ddl)
+    return joined.select("doc_id", "text", "spans", *["row"] * bool(keep)).mapInArrow(lean(run, "substring_dedup"), ddl)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, partitions, scratch, table
+from lexispark.llm.common import columns, each, lean, partitions, scratch, table
 from lexispark.llm.word_bpe import encoder
 
 #: (ids in a word, bits of each) by selector; selector 1 is the escape.
@@ -130,7 +130,7 @@ def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
                 ids = encode(text)
                 held.append(ids)
                 names.append(doc_id)
@@ -144,7 +144,7 @@ def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None]
     ordered = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("tie"))
     ordered = ordered.repartitionByRange(partitions(docs), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     # no dictionary and no column statistics for words: they don't repeat
-    ordered.select("doc_id", "text").mapInArrow(run, BLOCK_DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(lean(run, "word_bpe"), BLOCK_DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -159,7 +159,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u8"), row["n_ids"])
                 sizes = np.array(row["sizes"], np.int64)
                 ends = np.cumsum(sizes)
@@ -177,7 +178,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    docs = blocks.mapInArrow(run, "shard int, doc_id bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    docs = blocks.mapInArrow(lean(run, "token_file"), "shard int, doc_id bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return docs.join(before, "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, stored, table
+from lexispark.llm.common import columns, lean, stored, table
 
 K = 5
 SHARD = 8192
@@ -129,7 +129,7 @@ def _packed(rows: DataFrame, group: str, wide: int) -> DataFrame:
         if at is not None:
             yield packed()
 
-    return rows.mapInArrow(run, f"{group} bigint, ids binary, data binary")
+    return rows.mapInArrow(lean(run, "topk"), f"{group} bigint, ids binary, data binary")
 
 
 def search(vectors: DataFrame, vector: str = "embedding", every: int = 50, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, vector: str = "embedding", every: int = 50, k: in
                     names=["query_id", "query_print", "vec_id", "score"],
                 )
 
-    found = met.mapInArrow(run, "query_id bigint, query_print bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(lean(run, "topk"), "query_id bigint, query_print bigint, vec_id bigint, score bigint")
     order = W.partitionBy("query_id", "query_print").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -17,6 +17,8 @@ import unicodedata
 
 import numpy as np
 
+from lexispark.llm.common import forgets
+
 #: Words, and stems, kept in each half of a worker's cache.
 CACHE_WORDS = 300_000
 #: Bytes of text that are split at once.
@@ -134,6 +136,7 @@ class WordEncoder:
         return b"".join(parts)
 
 
+@forgets
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """This worker process's encoder for a vocabulary."""
