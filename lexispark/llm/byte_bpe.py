@@ -25,17 +25,18 @@ import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, table
+from lexispark.llm.common import columns, each, forgets, lean, table
 
 #: Words kept in each half of a worker's cache, and prefixes and pairs of tokens kept before a worker begins anew.
 CACHE_WORDS = 300_000
-CACHE_PREFIXES = 500_000
-CACHE_PAIRS = 500_000
+CACHE_PREFIXES = 400_000
+CACHE_PAIRS = 400_000
 #: Longer pieces of the pattern have a table of their own instead of sharing prefixes with others.
 SHARED_BYTES = 48
 _NONE = 1 << 62
@@ -53,7 +54,8 @@ class Vocabulary:
         self.made = {t: i for t, i in ranks.items() if len(t) == 1 or self._split(i) is not None}
         self.longest = max(map(len, self.made))
         self.agree: dict[int, bool] = {}  # by pair, as one number
-        self.known: dict[bytes, int] = {}  # the last token of each prefix met of short pieces
+        #: of each prefix met of short pieces: its last token, and all its tokens as decimal numbers joined by commas
+        self.known: dict[bytes, tuple[int, str]] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -123,28 +125,29 @@ class Vocabulary:
                 return token
         raise ValueError("a byte is missing from the vocabulary")
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        """Ids of one match of the pattern."""
+    def encode_piece(self, data: bytes) -> str:
+        """Ids of one match of the pattern, as decimal numbers joined by commas."""
+        known = self.known.get(data)
+        return known[1] if known is not None else self._encode(data)
+
+    def _encode(self, data: bytes) -> str:
         whole = self.ranks.get(data)
         if whole is not None:
-            return [whole]
+            return str(whole)
         if len(data) > SHARED_BYTES:
-            return Prefixes(self, data).ids()
+            return ",".join(map(str, Prefixes(self, data).ids()))
         known = self.known
         if len(known) >= CACHE_PREFIXES:
             known.clear()
-        last = lambda k: known[data[:k]]
-        have = len(data)
+        last = lambda k: known[data[:k]][0]
+        have = len(data) - 1
         while have and data[:have] not in known:
             have -= 1
         for end in range(have + 1, len(data) + 1):
-            known[data[:end]] = self.last_token(data, end, last)
-        out, end = [], len(data)
-        while end:
-            token = known[data[:end]]
-            out.append(token)
-            end -= len(self.tokens[token])
-        return out[::-1]
+            token = self.last_token(data, end, last)
+            begin = end - len(self.tokens[token])
+            known[data[:end]] = (token, f"{known[data[:begin]][1]},{token}" if begin else str(token))
+        return known[data][1]
 
 
 class Prefixes:
@@ -189,7 +192,7 @@ class _Words(dict):
         found = self.old.get(word, self)
         if found is self:
             # blanks at a word's edge, or none between two words, go together with the blank before
-            found = None if not word or word[0].isspace() or word[-1].isspace() else self.encoder.line(" " + word)
+            found = None if not word or word[0].isspace() or word[-1].isspace() else self.encoder.word(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -203,11 +206,26 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.words = _Words(self)
-        self.text = {str(i): t for i, t in vocabulary.tokens.items()}
+        probe = [[" été"], [" ab", "."], [" ab", "!"]]
+        self.plain = [vocabulary.pattern.findall("".join(p)) for p in probe] == probe
+        ids = range(max(vocabulary.tokens) + 1)
+        tokens = [vocabulary.tokens.get(i, b"") for i in ids]
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens])
+        self.at = np.cumsum(self.size) - self.size
 
     def line(self, text: str) -> str:
         piece = self.vocabulary.encode_piece
-        return ",".join([",".join(map(str, piece(p.encode("utf-8", "replace")))) for p in self.vocabulary.pattern.findall(text)])
+        return ",".join([piece(p.encode("utf-8", "replace")) for p in self.vocabulary.pattern.findall(text)])
+
+    def word(self, word: str) -> str:
+        """The ids of a word behind one blank. Letters alone, or with a mark behind, are cut without the pattern."""
+        if self.plain:
+            if word.isalpha():
+                return self.vocabulary.encode_piece(b" " + word.encode())
+            if word[-1] in ".,!?;:" and word[:-1].isalpha():
+                return f"{self.vocabulary.encode_piece(b' ' + word[:-1].encode())},{self.vocabulary.encode_piece(word[-1].encode())}"
+        return self.line(" " + word)
 
     def encode(self, text: str | None) -> str:
         """The ids as decimal numbers joined by commas; empty for null and empty texts."""
@@ -222,10 +240,18 @@ class Encoder:
         except TypeError:  # a None: blanks next to blanks
             return self.line(text)
 
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.text.__getitem__, ids.split(","))) if ids else b""
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all tokens one after another, by one gather."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return b""
+        place = np.arange(ends[-1])
+        place += np.repeat(self.at[ids] - (ends - size), size)
+        return self.flat[place].tobytes()
 
 
+@forgets
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """This worker process's encoder for a vocabulary."""
@@ -244,21 +270,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            lines = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            back = [bpe.decode(x) for x in lines]
-            out = {
-                "doc_id": batch.column(0),
-                "n_tokens": pa.array([x.count(",") + 1 if x else 0 for x in lines], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lines]),
-                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-            }
-            if with_ids:
-                out["ids"] = pa.array([[*map(int, x.split(","))] if x else [] for x in lines], pa.list_(pa.int32()))
-                out["decoded"] = pa.array(back, pa.binary())
+            rows = []
+            for text in each(batch.column(1)):
+                line = bpe.encode(text)
+                ids = np.fromstring(line, np.int64, sep=",")
+                back = bpe.decode(ids)
+                rows.append((len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), *((ids, back) if with_ids else ())))
+            out = {"doc_id": batch.column(0)}
+            kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32()), "decoded": pa.binary()} if with_ids else {})
+            out |= {name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds.items())}
             yield pa.RecordBatch.from_pydict(out)
 
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run, "byte_bpe"), ddl)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
