@@ -110,23 +110,24 @@ _BLOCK = pa.schema(
 )
 
 
-def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None], np.ndarray]]) -> None:
+def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None], bytes]], kind: str = "<u4") -> None:
     """Write the ids of every row of docs (doc_id, text) to `path` in ascending order of doc_id.
 
-    ids_of() is called once a task and gives the function from text to ids.
+    ids_of() is called once a task and gives the function from text to ids, as the bytes of an array of `kind`.
     Null ids come first; rows of equal id stay next to each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = ids_of(), TaskContext.get().partitionId()
         block, start, size = 0, 0, 0
-        held: list[np.ndarray] = []
+        width = np.dtype(kind).itemsize
+        held: list[bytes] = []
         names: list[int] = []
 
         def closed() -> pa.RecordBatch:
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), kind).astype(np.uint64)
             words, escapes = pack(ids)
-            row = [[shard], [block], [start], [len(ids)], [len(words)], [names], [[len(h) for h in held]], [escapes.astype("<u8").tobytes()], [words.astype("<u8").tobytes()]]
+            row = [[shard], [block], [start], [len(ids)], [len(words)], [names], [[len(h) // width for h in held]], [escapes.astype("<u8").tobytes()], [words.astype("<u8").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -134,7 +135,7 @@ def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None]
                 ids = encode(text)
                 held.append(ids)
                 names.append(doc_id)
-                size += len(ids)
+                size += len(ids) // width
                 if size >= BLOCK_IDS:
                     yield closed()
                     block, start, size, held, names = block + 1, start + size, 0, [], []
@@ -147,11 +148,12 @@ def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None]
     ordered.select("doc_id", "text").mapInArrow(lean(run, "word_bpe"), BLOCK_DDL).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document of the files at `path`; ids are little-endian uint64 bytes.
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document of the files at `path`.
 
-    start is the number of ids of all documents before. Offsets of shards come
-    from one small row a shard; nothing else is gathered.
+    ids are little-endian uint64 bytes, left out without with_ids; they are
+    decoded all the same. start is the number of ids of all documents before.
+    Offsets of shards come from one small row a shard; nothing else is gathered.
     """
     blocks = spark.read.schema(BLOCK_DDL).parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
@@ -166,28 +168,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(sizes)
                 small = ids.astype("<u4")
                 parts = [(int(e - s), int(e)) for s, e in zip(sizes, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["shard"]] * len(sizes), pa.int32()),
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(row["start_in_shard"] + ends - sizes),
-                        pa.array(sizes),
-                        pa.array([zlib.crc32(small[a:b]) for a, b in parts], pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in parts], pa.binary()),
-                    ],
-                    names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    docs = blocks.mapInArrow(lean(run, "token_file"), "shard int, doc_id bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return docs.join(before, "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "ids")
-
-
-def word_ids(vocabulary: str, end_id: int) -> Callable[[], Callable[[str | None], np.ndarray]]:
+                out = {
+                    "shard": pa.array([row["shard"]] * len(sizes), pa.int32()),
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                    "start_in_shard": pa.array(row["start_in_shard"] + ends - sizes),
+                    "n_tokens": pa.array(sizes),
+                    "ids_crc32": pa.array([zlib.crc32(small[a:b]) for a, b in parts], pa.int64()),
+                }
+                if with_ids:
+                    out["ids"] = pa.array([ids[a:b].tobytes() for a, b in parts], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
+
+    ddl = "shard int, doc_id bigint, start_in_shard bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+    docs = blocks.mapInArrow(lean(run, "token_file"), ddl)
+    return docs.join(before, "shard").select("doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+
+
+def word_ids(vocabulary: str, end_id: int) -> Callable[[], Callable[[str | None], bytes]]:
     """For write(): the ids of a tokenizers vocabulary, with end_id after each document."""
 
     def make():
-        words, end = encoder(vocabulary), np.array([end_id], np.uint64)
-        return lambda text: np.concatenate([np.frombuffer(words.encode(text), "<u4").astype(np.uint64), end])
+        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        return lambda text: encode(text) + end
 
     return make
 
@@ -199,4 +201,4 @@ def op1_token_file(spark: SparkSession, sf_dir: str, vocabulary: str | None = No
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
     path = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path, word_ids(vocabulary, 2))
-    return read(spark, path).drop("ids")
+    return read(spark, path, with_ids=False)

@@ -19,8 +19,10 @@ import numpy as np
 
 from lexispark.llm.common import forgets
 
-#: Words, and stems, kept in each half of a worker's cache.
-CACHE_WORDS = 300_000
+#: Words kept in each half of a worker's cache.
+CACHE_WORDS = 500_000
+#: Runs of punctuation kept likewise.
+CACHE_MARKS = 20_000
 #: Bytes of text that are split at once.
 STEP = 4 << 20
 
@@ -29,6 +31,11 @@ _PLAIN = re.compile(rb"([a-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
 _LATIN = 0x250
 
 
+def _latin(s: str) -> bool:
+    """Latin letters that lower-casing alone normalises."""
+    return s.isalpha() and ord(max(s)) < _LATIN and "İ" not in s and unicodedata.is_normalized("NFC", s)
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write bytes with."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,28 +45,22 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-class Cache:
-    """A dict of bounded size: when the young half is full it becomes the old half, whose entries are used again or lost."""
+class Cache(dict):
+    """What learn(key) gave, by key, in bounded memory: a full young half becomes the old half, whose entries are used again or lost."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, learn, size: int):
+        self.learn, self.size, self.old = learn, size, {}
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.learn(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
-    def put(self, key, value):
-        self.young[key] = value
-
-    def room(self, more: int) -> bool:
-        """Make room; True if the young half was emptied."""
-        if len(self.young) + more <= self.size:
-            return False
-        self.old, self.young = self.young, {}
-        return True
-
 
 class WordEncoder:
     """encode(text) gives the ids as little-endian uint32 bytes, equal to the library's for the whole text."""
@@ -71,7 +72,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words, self.stems = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
+        self.words, self.marks = Cache(self._word, CACHE_WORDS), Cache(self._whole, CACHE_MARKS)
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         # the short way is open only for the normaliser and splitter it was made for
         probe = "Éa'b c.d"
         self.short = [*self._whole(probe.encode())] == [*b"".join(self._whole(w) for w in ("éa".encode(), b"'", b"b", b"c", b".", b"d"))]
@@ -79,59 +81,37 @@ class WordEncoder:
     def _whole(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _stem(self, stem: bytes) -> bytes | None:
-        """Ids of a run of letters by the BPE model; None if it isn't plain."""
-        found = self.stems.get(stem)
-        if found is None:
-            low = stem
-            if not stem.isascii():
-                s = stem.decode("utf-8", "surrogatepass")
-                if not s.isalpha() or ord(max(s)) >= _LATIN or "İ" in s or not unicodedata.is_normalized("NFC", s):
-                    return None
-                low = s.lower().encode()
-            ids = [t.id for t in self.model.tokenize(low.decode("latin-1").translate(self.letters))]
-            found = np.array(ids, "<u4").tobytes()
-            self.stems.room(1)
-            self.stems.put(stem, found)
-        return found
-
-    def _learn(self, word: bytes) -> bytes:
-        plain = self.short and _PLAIN.fullmatch(word)
-        if plain:
-            stem, marks = plain.groups()
-            if (ids := self._stem(stem) if stem else b"") is not None:
-                if not marks:
-                    return ids
-                if (tail := self.stems.get(marks)) is None:
-                    tail = self._whole(marks)
-                    self.stems.put(marks, tail)
-                return ids + tail
+    def _letters(self, low: str) -> bytes:
+        """Ids of lower-case letters, each byte of them written as the vocabulary writes it, by the BPE model alone."""
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(low)])
+
+    def _word(self, word: bytes) -> bytes:
+        if self.short:
+            if word.isalpha():  # of bytes, ASCII letters only
+                return self._letters(word.lower().decode())
+            if plain := _PLAIN.fullmatch(word):
+                stem, marks = plain.groups()
+                if not stem:
+                    return self.marks[marks]
+                if stem.isascii() or _latin(s := stem.decode("utf-8", "surrogatepass")):
+                    return self.words[stem] + self.marks[marks] if marks else self._letters(s.lower().encode().decode("latin-1").translate(self.letters))
         return self._whole(word)
 
-    def _words(self, words: list[bytes]) -> bytes:
-        missing = set(words).difference(self.words.young)
-        if missing:
-            if self.words.room(len(missing)):
-                missing = set(words)
-            for w in missing:
-                if self.words.get(w) is None:
-                    self.words.put(w, self._learn(w))
-        return b"".join(map(self.words.young.__getitem__, words))
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         data = text.encode("utf-8", "surrogatepass")
         if b"<|" not in data:  # a special token's text is matched before anything is lower-cased
             data = data.lower()
+        ids_of = self.words.__getitem__
         if len(data) <= STEP:
-            return self._words(data.split())
+            return b"".join(map(ids_of, data.split()))
         parts, at = [], 0
         while at < len(data):
             end = min(at + STEP, len(data))
             while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
                 end += 1
-            parts.append(self._words(data[at:end].split()))
+            parts.append(b"".join(map(ids_of, data[at:end].split())))
             at = end
         return b"".join(parts)
 
