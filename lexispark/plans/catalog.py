@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexispark.plans import functions_queries, relational, sql_queries, text_queries
+from lexispark.plans import functions_queries, relational, shaped_queries, source_queries, sql_queries, text_queries
 from lexispark.plans.text_queries import flagship
 
-ALL = text_queries.Q | relational.Q | functions_queries.Q | sql_queries.Q
+ALL = text_queries.Q | relational.Q | functions_queries.Q | sql_queries.Q | shaped_queries.Q | source_queries.Q
 
 __all__ = ["ALL", "flagship", "oracle_sql", "queries"]
 

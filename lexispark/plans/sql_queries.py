@@ -13,16 +13,20 @@ from lexispark.sources.tables import table
 from lexispark.streaming import ingest
 
 Q: dict = {}
-_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def _sql(name: str, statement: str, duck: str | None = None, **args) -> None:
-    used = sorted(set(re.findall(r"\{(\w+)\}", statement)))
+def statement(text: str, duck: str | None = None, **args):
+    """(function, SQL) of a statement."""
+    used = sorted(set(re.findall(r"\{(\w+)\}", text)))
 
     def run(spark, sf):
-        return spark.sql(statement, args=args or None, **{n: table(spark, sf, n) for n in used})
+        return spark.sql(text, args=args or None, **{n: table(spark, sf, n) for n in used})
 
-    Q[name] = (run, duck or re.sub(r"\{(\w+)\}", r"\1", statement))
+    return run, duck or re.sub(r"\{(\w+)\}", r"\1", text)
+
+
+def _sql(name: str, text: str, duck: str | None = None, **args) -> None:
+    Q[name] = statement(text, duck, **args)
 
 
 _sql(

@@ -50,6 +50,36 @@ def scored(postings: DataFrame, query: str | Predicate, key: str = "doc_id") ->
     return held.where(p.column(lambda t: F.map_contains_key("tfs", t)))
 
 
+#: Predicates answered by one array expression; more take several arrays, joined to one.
+BATCH = 64
+
+
+def search_many(postings: DataFrame, queries: dict[str, str | Predicate], key: str = "doc_id") -> DataFrame:
+    """(tag, key): the matches of many queries by their tags, from one scan and one shuffle.
+
+    The terms of all queries are filtered in the scan and gathered by document
+    once; each query is then a column over the gathered terms. Every query has
+    to ask for a term.
+    """
+    parsed = {tag: _predicate(q) for tag, q in queries.items()}
+    if open_ := [tag for tag, p in parsed.items() if not p.positive()]:
+        raise ValueError(f"these also match documents without any of their terms: {open_}")
+    terms = sorted(set().union(*(p.terms() for p in parsed.values())))
+    held = postings.where(F.col("term").isin(terms)).groupBy(key).agg(F.collect_set("term").alias("terms"))
+    tags, found = list(parsed), []
+    for at in range(0, len(tags), BATCH):
+        hits = [F.when(parsed[tag].column(array_has()), F.lit(tag)) for tag in tags[at : at + BATCH]]
+        found.append(F.array_compact(F.array(*hits)))
+    return held.select(key, F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("tag")).select("tag", key)
+
+
+def count_many(postings: DataFrame, queries: dict[str, str | Predicate], key: str = "doc_id") -> DataFrame:
+    """(tag, n_docs) of every query, those without a match too."""
+    counted = search_many(postings, queries, key).groupBy("tag").agg(F.count("*").alias("n"))
+    asked = postings.sparkSession.createDataFrame([(tag,) for tag in queries], "tag string")
+    return asked.join(counted, "tag", "left").select("tag", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"))
+
+
 def surviving_blocks(index: DataFrame, query: str | Predicate) -> DataFrame:
     """The blocks that can hold a match: the predicate over block sets, NOT left open."""
     p = _positive_part(_predicate(query))
