@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.shared import scratch, shared_dir, stored
 
-__all__ = ["columns", "each", "forgets", "held_out", "lean", "partitions", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["columns", "each", "forgets", "fresh", "held_out", "lean", "partitions", "scratch", "shared_dir", "stored", "table"]
 
 #: The ASCII blanks that end a word.
 BLANK = r"[\x20\x09-\x0D]"
@@ -31,6 +31,18 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all ids that nothing learns from: crc32(text of the id) mod 5 is 0. True for null ids."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import BLANK_RUN, columns, lean, partitions, stored, table
+from lexispark.llm.common import BLANK_RUN, columns, fresh, lean, partitions, stored, table
 
 SLOTS = 4
 KICKS = 200
@@ -239,12 +239,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text a row with a smaller doc_id has; all columns stay as they are."""
     names = docs.columns
+    own, first, text = fresh(docs, "own_digest", "first_id", "first_digest")
     keys = stored(keys_of(docs), "dedup-keys")
-    one = groups_of(keys).select(F.col("first_id").alias("_id"), F.col("digest").alias("_digest"))
+    one = groups_of(keys).select(F.col("first_id").alias(first), F.col("digest").alias(text))
     digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANK_RUN, " "), 256))
-    matched = docs.withColumn("_key", digest).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
+    matched = docs.withColumn(own, digest).join(one, F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(own) == F.col(text)), "left_semi")
     if not keys.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
-        matched = matched.dropDuplicates(["doc_id", "_key"])  # rows that repeat both id and text all match; one stays
+        matched = matched.dropDuplicates(["doc_id", own])  # rows that repeat both id and text all match; one stays
     return matched.select(*[F.col(f"`{n}`") for n in names])
 
 

@@ -21,4 +21,5 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op4_topk": topk.SQL,
     "op7_chat": chat.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }

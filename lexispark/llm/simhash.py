@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, each, lean, partitions, stored, table
+from lexispark.llm.common import columns, each, fresh, lean, partitions, stored, table
 from lexispark.llm.components import components
 
 RADIUS = 4
@@ -197,13 +197,13 @@ def groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: the one with the smallest doc_id; all columns stay as they are."""
     names = docs.columns
+    own, first_id, first_hash = fresh(docs, "own_hash", "first_id", "first_hash")
     first = groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("rows"))
     first = stored(first.select("row.*", "rows"), "simhash-first")
-    marked = docs.withColumn("_hash", F.xxhash64("text")).join(
-        first.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_own")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left_semi"
-    )
+    kept = first.select(F.col("doc_id").alias(first_id), F.col("text_hash").alias(first_hash))
+    marked = docs.withColumn(own, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(first_id)) & (F.col(own) == F.col(first_hash)), "left_semi")
     if not first.where("rows > 1").isEmpty():
-        marked = marked.dropDuplicates(["doc_id", "_hash"])  # rows that repeat both id and text: one stays
+        marked = marked.dropDuplicates(["doc_id", own])  # rows that repeat both id and text: one stays
     return marked.select(*[F.col(f"`{n}`") for n in names])
 
 

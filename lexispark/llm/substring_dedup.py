@@ -332,3 +332,25 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, texts: bool = T
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(columns(table(spark, sf_dir, "documents"), "doc_id", "text"), texts=False)
+
+
+#: Windows are compared as md5 of their words; fine for tables of some thousand documents.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), rep AS (
+  SELECT r, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+), gone AS (
+  SELECT DISTINCT r, i + o AS p FROM rep, range(35) AS places(o)
+), word AS (
+  SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+), lost AS (
+  SELECT r, count(*) AS n FROM gone GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)
+"""

@@ -175,6 +175,27 @@ def test_dedup_agrees_with_sql(spark):
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
 
 
+CLASH = "own_digest first_id first_digest own_hash first_hash _id _key _own row tie digest keep_tie text_hash component_id root nth rank part spans kept sequence_id offset lang_pred held_out".split()
+
+
+def test_stages_keep_columns_that_clash(spark):
+    """Extra columns keep their values, whatever they are called."""
+    import corpus_pipeline
+
+    long = "the quick brown fox " * 20
+    rows = [(1, long), (2, long + "end"), (3, "une autre chose"), (3, "une autre chose"), (4, None), (None, "des choses")]
+    df = spark.createDataFrame([(i, t, "fr", *(f"{c}-{k}" for c in CLASH)) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASH))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, df, SF)
+        if name == "packing":
+            assert found.count() >= len(rows)
+            continue
+        assert found.columns == df.columns, name
+        assert all(r[c].startswith(f"{c}-") for r in found.collect() for c in CLASH), name
+    for operator in (exact_dedup.dedup, simhash.groups, language_id.identify, lambda d: packing.pack(d, WORD)):
+        assert operator(df).count() >= len(rows)
+
+
 # op5
 
 

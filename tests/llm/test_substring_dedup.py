@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 
 from lexispark.llm import substring_dedup as sd
@@ -62,3 +63,17 @@ def test_long_text_in_steps(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_agrees_with_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(sd.SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, sd.op10_substring_dedup(spark, sf).select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_long_words_and_words_beyond_ascii(spark):
+    rows = [(1, "é" * 3000 + " ü" * 40), (2, "x " + "é" * 3000 + " ü" * 40), (3, None)]
+    assert run(spark, rows) == brute(rows, 35)
