@@ -153,6 +153,28 @@ def text_scored_topk(spark, sf):
 Q["text_scored_topk"] = (text_scored_topk, Q["text_scored"][1] + " ORDER BY score DESC, doc_id LIMIT 10")
 
 
+def text_scan(spark, sf):
+    """The nested search from the texts alone, without an index or a shuffle."""
+    return searching.search_documents(_docs(spark, sf), "with AND (the OR of)")
+
+
+Q["text_scan"] = (text_scan, _where("has('with') AND (has('the') OR has('of'))"))
+
+
+def text_scan_not(spark, sf):
+    return searching.search_documents(_docs(spark, sf), must_not(["the", "la"]))
+
+
+Q["text_scan_not"] = (text_scan_not, f"{HAS} SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term IN ('the', 'la'))")
+
+
+def text_scan_scored(spark, sf):
+    return searching.scored_documents(_docs(spark, sf), "with AND (the OR of)").select("doc_id", "score")
+
+
+Q["text_scan_scored"] = (text_scan_scored, Q["text_scored"][1])
+
+
 def text_term_range(spark, sf):
     return indexing.term_range(_postings(spark, sf), "the", "thz").groupBy("term").agg(F.count("*").alias("nums"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexispark.operators.frame import order
+from lexispark.shared import stored
 
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "ndjson": "json", "avro": "avro", "orc": "orc", "text": "text"}
 COMPRESSION = {"gz": "gzip", "gzip": "gzip", "bz2": "bzip2", "bzip2": "bzip2", "zstd": "zstd", "zst": "zstd", "": "none", None: "none"}
@@ -101,13 +102,61 @@ def create_external_table(spark: SparkSession, statement: str) -> DataFrame:
     return df
 
 
+_TABLE_AS = re.compile(r"\s*CREATE\s+(?P<replace>OR\s+REPLACE\s+)?TABLE\s+(?P<missing>IF\s+NOT\s+EXISTS\s+)?(?P<name>\w+)\s+AS\s+(?P<query>.*?);?\s*$", re.IGNORECASE | re.DOTALL)
+_DROP = re.compile(r"\s*DROP\s+(?:TABLE|VIEW)\s+(?P<if>IF\s+EXISTS\s+)?(?P<name>\w+)\s*;?\s*$", re.IGNORECASE)
+_EXPLAIN = re.compile(r"\s*EXPLAIN\s+(?P<analyze>ANALYZE\s+)?(?P<verbose>VERBOSE\s+)?(?P<query>(?:SELECT|WITH|VALUES)\b.*)$", re.IGNORECASE | re.DOTALL)
+
+
+def create_table_as(spark: SparkSession, name: str, df: DataFrame, replace: bool = False, missing: bool = False) -> DataFrame:
+    """A table of the session: df's rows written down once in the shared folder, under a name."""
+    if spark.catalog.tableExists(name) and not replace:
+        if missing:
+            return spark.table(name)
+        raise ValueError(f"table {name!r} exists")
+    made = stored(df, f"table-{name}")
+    made.createOrReplaceTempView(name)
+    return made
+
+
+def explain(df: DataFrame, analyze: bool = False, verbose: bool = False) -> list[tuple[str, str]]:
+    """(kind, text) of a plan; analyze runs the query and adds how many rows it gave."""
+    plan = df._jdf.queryExecution()
+    out = [("logical_plan", plan.optimizedPlan().toString()), ("physical_plan", plan.executedPlan().toString())]
+    if verbose:
+        out.insert(0, ("initial_logical_plan", plan.logical().toString()))
+    if analyze:
+        out.append(("rows", str(df.count())))
+    return out
+
+
+def prepare(spark: SparkSession, statement: str):
+    """PREPARE: a function of the values for $1, $2, … that gives the statement's DataFrame."""
+    named = re.sub(r"\$(\d+)", r":p\1", statement)
+
+    def execute(*values, **tables: DataFrame) -> DataFrame:
+        return spark.sql(named, args={f"p{k}": v for k, v in enumerate(values, 1)}, **tables)
+
+    return execute
+
+
 def sql(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
-    """spark.sql, and the external-table statement, which Spark spells otherwise. Tables may be given by name."""
-    if re.match(r"\s*CREATE\s+EXTERNAL\s+TABLE", statement, re.IGNORECASE):
-        create_external_table(spark, statement)
-        return spark.createDataFrame([], "result string")
+    """spark.sql, and the statements that Spark spells otherwise: external tables, CREATE TABLE … AS, DROP of either, EXPLAIN.
+
+    Tables may be given by name.
+    """
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+    done = spark.createDataFrame([], "result string")
+    if re.match(r"\s*CREATE\s+EXTERNAL\s+TABLE", statement, re.IGNORECASE):
+        create_external_table(spark, statement)
+        return done
+    if m := _TABLE_AS.match(statement):
+        create_table_as(spark, m["name"], spark.sql(m["query"]), bool(m["replace"]), bool(m["missing"]))
+        return done
+    if (m := _DROP.match(statement)) and (spark.catalog.dropTempView(m["name"]) or m["if"]):
+        return done
+    if m := _EXPLAIN.match(statement):
+        return spark.createDataFrame(explain(spark.sql(m["query"]), bool(m["analyze"]), bool(m["verbose"])), "plan_type string, plan string")
     return spark.sql(statement)
 
 

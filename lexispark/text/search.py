@@ -8,11 +8,12 @@ matching terms only, already combined on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.text.index import BLOCK
 from lexispark.text.query import Predicate, array_has, normalise, parse
+from lexispark.text.tokenize import MAX_TF, terms
 
 
 def _predicate(query: str | Predicate) -> Predicate:
@@ -35,6 +36,38 @@ def search(postings: DataFrame, query: str | Predicate, docs: DataFrame | None =
     return docs.select(key).distinct().join(wrong, key, "left_anti")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once a row however often `use` names it: the optimiser can't copy it into each place."""
+    return F.transform(F.array(value), use)[0]
+
+
+def search_documents(docs: DataFrame, query: str | Predicate, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The keys of rows whose text matches, from the texts alone and without a shuffle: for corpora that are searched once.
+
+    Each row is a document; null texts have no terms, so only a NOT finds them.
+    """
+    p = _predicate(query)
+    words = F.coalesce(terms(F.col(text)), F.array().cast("array<string>"))
+    return docs.where(_once(words, lambda ts: p.column(lambda t: F.array_contains(ts, t)))).select(key)
+
+
+def scored_documents(docs: DataFrame, query: str | Predicate, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, tfs, score) of matching rows, from the texts alone and without a shuffle."""
+    p = _predicate(query)
+    if not p.positive():
+        raise ValueError("a score needs a predicate that asks for a term")
+    asked = sorted(p.terms())
+    own = F.filter(terms(F.col(text)), lambda t: t.isin(asked))
+
+    def times(term: str) -> Column:
+        return F.least(F.size(F.filter("own", lambda t: t == term)), F.lit(MAX_TF)).cast("smallint")
+
+    counted = [F.struct(F.lit(a).alias("key"), times(a).alias("value")) for a in asked]
+    held = docs.select(key, own.alias("own")).where(_once(F.col("own"), lambda ts: p.column(lambda t: F.array_contains(ts, t))))
+    found = held.select(key, F.map_from_entries(F.filter(F.array(*counted), lambda e: e["value"] > 0)).alias("tfs"))
+    return found.select(key, "tfs", F.aggregate(F.map_values("tfs"), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
+
+
 def count(postings: DataFrame, query: str | Predicate, docs: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """One row: how many documents match."""
     return search(postings, query, docs, key).agg(F.count("*").alias("n_docs"))
@@ -64,8 +97,8 @@ def search_many(postings: DataFrame, queries: dict[str, str | Predicate], key: s
     parsed = {tag: _predicate(q) for tag, q in queries.items()}
     if open_ := [tag for tag, p in parsed.items() if not p.positive()]:
         raise ValueError(f"these also match documents without any of their terms: {open_}")
-    terms = sorted(set().union(*(p.terms() for p in parsed.values())))
-    held = postings.where(F.col("term").isin(terms)).groupBy(key).agg(F.collect_set("term").alias("terms"))
+    asked = sorted(set().union(*(p.terms() for p in parsed.values())))
+    held = postings.where(F.col("term").isin(asked)).groupBy(key).agg(F.collect_set("term").alias("terms"))
     tags, found = list(parsed), []
     for at in range(0, len(tags), BATCH):
         hits = [F.when(parsed[tag].column(array_has()), F.lit(tag)) for tag in tags[at : at + BATCH]]

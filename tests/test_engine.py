@@ -141,6 +141,29 @@ def test_external_table_and_catalog(spark, tmp_path):
         S.create_external_table(spark, "CREATE TABLE x")
 
 
+def test_statements(spark):
+    S.sql(spark, "CREATE TABLE made AS SELECT id, id * 2 AS twice FROM given WHERE id > 1", given=spark.range(5))
+    assert sorted(map(tuple, S.sql(spark, "SELECT * FROM made").collect())) == [(2, 4), (3, 6), (4, 8)]
+    with pytest.raises(ValueError):
+        S.sql(spark, "CREATE TABLE made AS SELECT 1 AS x")
+    S.sql(spark, "CREATE TABLE IF NOT EXISTS made AS SELECT 1 AS x")
+    assert spark.table("made").count() == 3
+    S.sql(spark, "CREATE OR REPLACE TABLE made AS SELECT 1 AS x")
+    assert spark.table("made").collect() == [(1,)]
+    S.sql(spark, "CREATE OR REPLACE TEMPORARY VIEW seen AS SELECT x + 1 AS y FROM made")
+    assert S.sql(spark, "SELECT y FROM seen").collect() == [(2,)]
+    assert [r.col_name for r in S.sql(spark, "DESCRIBE made").collect()] == ["x"]
+    assert {"made", "seen"} <= {r.tableName for r in S.sql(spark, "SHOW TABLES").collect()}
+    kinds = {r.plan_type: r.plan for r in S.sql(spark, "EXPLAIN ANALYZE VERBOSE SELECT x FROM made").collect()}
+    assert set(kinds) == {"initial_logical_plan", "logical_plan", "physical_plan", "rows"} and kinds["rows"] == "1"
+    find = S.prepare(spark, "SELECT id FROM {numbers} WHERE id > $1 AND id < $2")
+    assert [r.id for r in find(2, 5, numbers=spark.range(10)).collect()] == [3, 4]
+    S.sql(spark, "DROP VIEW seen")
+    S.sql(spark, "DROP TABLE made")
+    S.sql(spark, "DROP TABLE IF EXISTS made")
+    assert not spark.catalog.tableExists("made")
+
+
 def test_corpus_reader(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.json").write_text('{"id": "1", "text": "Hello World"}\n{"id": "2"}\n')

@@ -51,6 +51,32 @@ def test_search_is_set_algebra(corpus, flat, text):
     assert {r.doc_id for r in searching.search(flat, p, docs).collect()} == want
 
 
+@pytest.mark.parametrize("text", QUERIES)
+def test_search_of_texts_needs_no_index(corpus, text):
+    docs, words = corpus
+    p = parse(text) if "ñ" not in text else Or((Term("ñandú"), Term("fir")))
+    found = searching.search_documents(docs, p)
+    assert {r.doc_id for r in found.collect()} == {i for i, w in words.items() if holds(p, w)}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_texts_are_those_of_the_index(corpus, flat):
+    for text in ("elm AND x", "ash OR nowhere", "ash AND (birch OR elm)"):
+        want = sorted((r.doc_id, r.score, sorted(r.tfs.items())) for r in searching.scored(flat, text).collect())
+        assert sorted((r.doc_id, r.score, sorted(r.tfs.items())) for r in searching.scored_documents(corpus[0], text).collect()) == want
+    with pytest.raises(ValueError):
+        searching.scored_documents(corpus[0], "NOT elm")
+
+
+def test_many_queries_in_one_pass(corpus, flat):
+    _, words = corpus
+    queries = {f"q{k}": q for k, q in enumerate(["ash AND birch", "elm OR x", "nowhere", "ash AND NOT elm"] + ["fir"] * searching.BATCH)}
+    got = {r.tag: r.n_docs for r in searching.count_many(flat, queries).collect()}
+    assert got == {tag: sum(holds(parse(q), w) for w in words.values()) for tag, q in queries.items()}
+    with pytest.raises(ValueError):
+        searching.search_many(flat, {"a": "ash", "b": "NOT ash"})
+
+
 def test_laws(flat):
     n = lambda q: searching.count(flat, q).first()[0]
     assert n("ash AND elm") + n("ash OR elm") == n("ash") + n("elm")
