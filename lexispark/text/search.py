@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexispark.text.index import BLOCK
 from lexispark.text.query import Predicate, array_has, normalise, parse
-from lexispark.text.tokenize import MAX_TF, terms
+from lexispark.text.tokenize import MAX_TF, query_terms
 
 
 def _predicate(query: str | Predicate) -> Predicate:
@@ -41,30 +41,40 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _alone(term: str) -> str:
+    """A pattern for a term with no letter or digit on either side. The term comes first, so that a plain scan finds it."""
+    return rf"{term}(?![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]{term})"
+
+
+def _found(low: Column, term: str) -> Column:
+    """Whether a lower-case text has a term; what is no term of the tokeniser is in no text."""
+    return low.rlike(_alone(term)) if query_terms(term) == [term] else F.lit(False)
+
+
 def search_documents(docs: DataFrame, query: str | Predicate, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The keys of rows whose text matches, from the texts alone and without a shuffle: for corpora that are searched once.
+    """The keys of rows whose text matches, from the texts alone: no index, no tokens, no shuffle. For corpora that are searched once.
 
     Each row is a document; null texts have no terms, so only a NOT finds them.
     """
     p = _predicate(query)
-    words = F.coalesce(terms(F.col(text)), F.array().cast("array<string>"))
-    return docs.where(_once(words, lambda ts: p.column(lambda t: F.array_contains(ts, t)))).select(key)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return docs.where(_once(low, lambda x: p.column(lambda t: _found(x, t)))).select(key)
 
 
 def scored_documents(docs: DataFrame, query: str | Predicate, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tfs, score) of matching rows, from the texts alone and without a shuffle."""
+    """(key, tfs, score) of matching rows, likewise."""
     p = _predicate(query)
     if not p.positive():
         raise ValueError("a score needs a predicate that asks for a term")
-    asked = sorted(p.terms())
-    own = F.filter(terms(F.col(text)), lambda t: t.isin(asked))
 
-    def times(term: str) -> Column:
-        return F.least(F.size(F.filter("own", lambda t: t == term)), F.lit(MAX_TF)).cast("smallint")
+    def times(x: Column, term: str) -> Column:
+        found = F.regexp_count(x, F.lit(_alone(term))) if query_terms(term) == [term] else F.lit(0)
+        return F.struct(F.lit(term).alias("key"), F.least(found, F.lit(MAX_TF)).cast("smallint").alias("value"))
 
-    counted = [F.struct(F.lit(a).alias("key"), times(a).alias("value")) for a in asked]
-    held = docs.select(key, own.alias("own")).where(_once(F.col("own"), lambda ts: p.column(lambda t: F.array_contains(ts, t))))
-    found = held.select(key, F.map_from_entries(F.filter(F.array(*counted), lambda e: e["value"] > 0)).alias("tfs"))
+    low = F.lower(F.col(text))
+    hits = docs.where(_once(F.coalesce(low, F.lit("")), lambda x: p.column(lambda t: _found(x, t))))
+    counted = _once(low, lambda x: F.array(*[times(x, t) for t in sorted(p.terms())]))
+    found = hits.select(key, F.map_from_entries(F.filter(counted, lambda e: e["value"] > 0)).alias("tfs"))
     return found.select(key, "tfs", F.aggregate(F.map_values("tfs"), F.lit(0).cast("long"), lambda a, x: a + x).alias("score"))
 
 
