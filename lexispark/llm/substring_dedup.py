@@ -39,8 +39,8 @@ SEED = 16
 class Limits:
     """How much is held at once; results don't depend on it."""
 
-    task_windows: int = 1_500_000  #: windows that a task gathers before it compares them and sends them on
-    bucket_windows: int = 2_000_000  #: windows of one bucket that are compared in one place
+    task_windows: int = 800_000  #: windows that a task gathers before it compares them and sends them on
+    bucket_windows: int = 1_200_000  #: windows of one bucket that are compared in one place
     step: int = 200_000  #: words of one text that are hashed at once
 
 
