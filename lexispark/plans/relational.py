@@ -131,6 +131,19 @@ for _how, _word in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
     Q[f"join_{_how}"] = (_outer(_how), f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) {_word} JOIN (SELECT * FROM orders WHERE o_custkey % 3 = 0) ON c_custkey = o_custkey")
 
 
+def _outer_whole(how):
+    def run(spark, sf):
+        """Whole tables; a customer's order is a partner where the balance is over a hundredth of its price."""
+        c, o = t(spark, sf, "customer"), t(spark, sf, "orders")
+        return c.join(o, (c.c_custkey == o.o_custkey) & (c.c_acctbal > o.o_totalprice / 100), how).select("c_custkey", "o_orderkey")
+
+    return run
+
+
+for _how, _word in (("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL")):
+    Q[f"join_{_how}_whole"] = (_outer_whole(_how), f"SELECT c_custkey, o_orderkey FROM customer {_word} JOIN orders ON c_custkey = o_custkey AND c_acctbal > o_totalprice / 100")
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 def join_left_semi(spark, sf):
     o = t(spark, sf, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey"))

@@ -24,3 +24,13 @@ def test_min_max_reads_every_line(spark):
     lines = table(spark, SF, "lineitem")
     found = {r.l_returnflag: (r["mean"], r.first_day) for r in run(spark, "agg_min_max_types_whole").collect()}
     assert found == {r.l_returnflag: (r.q / r.n, r.d) for r in lines.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n"), F.min("l_shipdate").alias("d")).collect()}
+
+
+def test_outer_joins_lose_no_row(spark):
+    customers, orders = table(spark, SF, "customer").count(), table(spark, SF, "orders").count()
+    for how, c, o in (("left", customers, None), ("right", None, orders), ("full", customers, orders)):
+        found = run(spark, f"join_{how}_whole")
+        sides = found.select(F.count_distinct("c_custkey"), F.count_distinct("o_orderkey"), F.count_if(F.col("c_custkey").isNull()), F.count_if(F.col("o_orderkey").isNull())).first()
+        assert c is None or (sides[0] == c and sides[3] > 0)
+        assert o is None or (sides[1] == o and sides[2] > 0)
+        assert found.where("c_custkey is not null and o_orderkey is not null").count() > 0
