@@ -437,6 +437,54 @@ def unnest_list(spark, sf):
     return O.unnest(t(spark, sf, "embeddings").select("vec_id", e.alias("x")), "x")
 
 
+def _debtors(spark, sf):
+    """All lines' suppliers, and the suppliers in debt or without a key."""
+    x = t(spark, sf, "lineitem").select(F.nullif(F.col("l_suppkey"), F.lit(3)).alias("k"))
+    return x, t(spark, sf, "supplier").select(F.nullif(F.col("s_suppkey"), F.lit(3)).alias("k"), "s_acctbal").where("k is null or s_acctbal < 0").select("k")
+
+
+_Z = "(SELECT k FROM (SELECT nullif(s_suppkey, 3) AS k, s_acctbal FROM supplier) WHERE k IS NULL OR s_acctbal < 0)"
+
+
+@query(f"SELECT k FROM {_X} UNION ALL SELECT k FROM {_Z}")
+def set_union_all_whole(spark, sf):
+    x, z = _debtors(spark, sf)
+    return x.union(z)
+
+
+@query(f"SELECT k FROM {_X} UNION SELECT k FROM {_Z}")
+def set_union_whole(spark, sf):
+    x, z = _debtors(spark, sf)
+    return x.union(z).distinct()
+
+
+@query(f"SELECT k FROM {_X} INTERSECT SELECT k FROM {_Z}")
+def set_intersect_whole(spark, sf):
+    return O.intersect(*_debtors(spark, sf), keep_all=False)
+
+
+@query(f"SELECT x.k FROM {_X} x WHERE EXISTS (SELECT 1 FROM {_Z} z WHERE x.k IS NOT DISTINCT FROM z.k)")
+def set_intersect_all_whole(spark, sf):
+    return O.intersect(*_debtors(spark, sf))
+
+
+@query(f"SELECT k FROM {_X} EXCEPT SELECT k FROM {_Z}")
+def set_except_whole(spark, sf):
+    return O.subtract(*_debtors(spark, sf), keep_all=False)
+
+
+@query(f"SELECT x.k FROM {_X} x WHERE NOT EXISTS (SELECT 1 FROM {_Z} z WHERE x.k IS NOT DISTINCT FROM z.k)")
+def set_except_all_whole(spark, sf):
+    return O.subtract(*_debtors(spark, sf))
+
+
+@query("SELECT vec_id, unnest(CASE WHEN vec_id % 10 = 0 THEN [NULL] ELSE embedding END) AS x FROM embeddings")
+def unnest_list_whole(spark, sf):
+    """Every component of each vector."""
+    e = F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    return O.unnest(t(spark, sf, "embeddings").select("vec_id", e.alias("x")), "x")
+
+
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL")
 def repartition_distribute(spark, sf):
     return t(spark, sf, "lineitem").repartition("l_suppkey").groupBy("l_suppkey").agg(F.count("*").alias("n"))

@@ -34,3 +34,20 @@ def test_outer_joins_lose_no_row(spark):
         assert c is None or (sides[0] == c and sides[3] > 0)
         assert o is None or (sides[1] == o and sides[2] > 0)
         assert found.where("c_custkey is not null and o_orderkey is not null").count() > 0
+
+
+def test_set_operations_meet_suppliers_of_any_key(spark):
+    sf = "/root/testdata/sf0.01"  # no supplier of the smallest tables is in debt
+    lines, suppliers, ask = table(spark, sf, "lineitem"), table(spark, sf, "supplier"), catalog.queries()
+    debtors = suppliers.where("s_suppkey = 3 or s_acctbal < 0")
+    met, rest = ask["set_intersect_all_whole"](spark, sf), ask["set_except_all_whole"](spark, sf)
+    assert met.count() == lines.join(debtors, F.expr("l_suppkey = s_suppkey")).count()
+    assert met.where("k >= 9").count() > 0
+    assert rest.count() == lines.count() - met.count()
+    assert ask["set_union_all_whole"](spark, sf).count() == lines.count() + debtors.count()
+
+
+def test_unnest_gives_every_component(spark):
+    vectors = table(spark, SF, "embeddings")
+    all_of = vectors.select(F.sum(F.when(F.col("vec_id") % 10 == 0, 1).otherwise(F.size("embedding")))).first()[0]
+    assert run(spark, "unnest_list_whole").count() == all_of
