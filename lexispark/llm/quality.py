@@ -27,12 +27,11 @@ FILTERS = 8
 WIDTH = 4
 #: Bytes of a chunk; chunks overlap by WIDTH - 1, so that every window of WIDTH bytes lies in one.
 CHUNK = 512
-#: Learning reads about this many labelled documents at most, and of each this many bytes, at evenly spread chunks.
+#: Learning reads about this many labelled documents at most, each of them whole.
 TRAIN_DOCS = 2_000
-TRAIN_BYTES = 4_096
 EPOCHS = 12
 THRESHOLD = 0.3
-#: Bytes scored at once.
+#: Bytes scored at once, also in learning.
 STEP = CHUNK * 512
 
 
@@ -94,12 +93,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         net.top[:] = 0
         net.top_bias = float(np.log(p / (1 - p)))
         return net
-    rows = []
-    for text in texts:
-        own = chunked(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-        most = max(1, TRAIN_BYTES // CHUNK)
-        own = own if len(own) <= most else own[np.linspace(0, len(own) - 1, most).astype(int)]
-        rows.append(own)
+    rows = [chunked(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)) for text in texts]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     params = {"conv": net.conv, "bias": net.bias, "top": net.top, "top_bias": np.zeros(1)}
     mean = {k: np.zeros_like(v, np.float64) for k, v in params.items()}
@@ -112,7 +106,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             sizes = [len(r) for r in own]
             stack = np.concatenate(own)
             doc = np.repeat(np.arange(len(batch)), sizes)
-            raw, at = net.maxima(stack)
+            found = [net.maxima(stack[k : k + STEP // CHUNK]) for k in range(0, len(stack), STEP // CHUNK)]
+            raw, at = (np.concatenate(x) for x in zip(*found, strict=True))
             peaks = np.maximum(raw + net.bias, 0)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             most = np.maximum.reduceat(peaks, starts, axis=0)

@@ -207,6 +207,22 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted for r in found if r.quality]) > 0.97
 
 
+def test_quality_learns_from_every_chunk():
+    """What decides lies in one of 40 chunks, wherever it is."""
+    rng = np.random.default_rng(3)
+
+    def text(good, at):
+        filler = bytearray(rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 40 * quality.CHUNK).tobytes())
+        filler[at * quality.CHUNK + 50 : at * quality.CHUNK + 58] = b"ZQZQZQZQ" if good else b"hgfedcba"
+        return filler.decode()
+
+    between = [2, 3, 8, 13, 19, 24, 30, 36]
+    labels = np.array([float(k % 2) for k in range(128)])
+    net = quality.fit([text(y, between[k // 2 % 8]) for k, y in enumerate(labels)], labels)
+    found = [net.score(text(k % 2, between[k // 2 % 8])) >= 0.5 for k in range(32)]
+    assert np.mean([f == bool(k % 2) for k, f in enumerate(found)]) > 0.9
+
+
 def test_quality_of_odd_rows(spark):
     rows = odd_rows()
     labels = spark.createDataFrame([(1, None), (2, 1), (3, 7), (None, 0), (4, 0), (4, 1), (7, 1)], "doc_id bigint, quality int")
