@@ -33,8 +33,10 @@ from lexispark.llm.common import columns, each, held_out, lean, table
 #: Longest context, in symbols. The table has SYMBOLS ** (ORDER + 1) entries a language.
 ORDER = 2
 SYMBOLS = 64
-#: Training reads about this many labelled documents at most, dealt out by a hash of the id.
+#: Training reads about this many labelled documents at most, an equal share of each language, dealt out by a hash of the id.
 TRAIN_DOCS = 20_000
+#: Values of that hash.
+DEALT = 1 << 40
 #: A text whose best language has less posterior probability than this is rejected by the filter.
 MIN_SCORE = 0.5
 #: Bytes coded at once.
@@ -131,13 +133,17 @@ def train(docs: DataFrame, order: int = ORDER, limit: int = TRAIN_DOCS) -> Model
     """Learn from text and lang of rows that are not held out; nulls in either are skipped.
 
     At most about `limit` documents are used: where there are more, each is
-    taken with probability limit / rows by a hash of its id. Counts are summed
-    over the executors; the driver gets two small tables a language.
+    taken with probability limit / languages / rows of its language by a hash
+    of its id, and of each language at least the one with the smallest hash.
+    Counts are summed over the executors; the driver gets two small tables a
+    language.
     """
     usable = columns(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = usable.select("doc_id").count()
-    if rows > limit:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / rows))
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(DEALT))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(dealt).alias("least")).collect()
+    if sum(r.n for r in sizes) > limit:
+        upto = [(r.lang, max(r.least, int(DEALT * min(1.0, limit / len(sizes) / r.n)) - 1)) for r in sizes]
+        usable = usable.join(F.broadcast(docs.sparkSession.createDataFrame(upto, "lang string, upto bigint")), "lang").where(dealt <= F.col("upto"))
     usable = usable.select("text", "lang")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -351,6 +351,16 @@ def test_language_on_held_out_rows(spark):
     assert len(found) > 100 and np.mean([r.lang_pred == r.lang for r in found]) > 0.97
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    """A bounded sample has every language, and about as many documents as it may have."""
+    rows = [(k, "the cat sat on the mat", "en") for k in range(3000)] + [(3000 + k, "le chat est sur le tapis", "fr") for k in range(12)] + [(4000 + k, "die katze sitzt auf der matte", "de") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for limit in (2, 30, 300):
+        model = language_id.train(docs, limit=limit)
+        assert model.languages == ["de", "en", "fr"]
+        assert model.predict("die katze")[0] == "de"
+
+
 def test_language_of_odd_rows(spark):
     rows = [(i, t, None) for i, t in odd_rows()] + [(1000 + k, t, lang) for k in range(20) for t, lang in (("the cat and the dog " * 3, "en"), ("der hund und die katze " * 3, "de"))]
     rows += [(2000, "123 !! 456", "en"), (2001, "der hund", None), (2002, None, "en")]
