@@ -50,7 +50,34 @@ def test_against_brute_force(spark, seed):
 
 def test_other_windows_and_overflow(spark):
     rows = corpus(random.Random(3))
-    assert run(spark, rows, window=6, seed=3, limits=sd.Limits(50, 20, 200_000)) == brute(rows, 6)
+    assert run(spark, rows, window=6, seed=3, limits=sd.Limits(50, 20, often=3, contexts=5, context_bytes=300)) == brute(rows, 6)
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_collisions_of_hashes(spark, bits):
+    """Nothing rests on hashes: with next to none of their bits the result is the same."""
+    rows = corpus(random.Random(5))
+    assert run(spark, rows, limits=sd.Limits(hash_bits=bits)) == brute(rows, 35)
+    assert run(spark, rows, window=6, seed=3, limits=sd.Limits(200, often=8, hash_bits=bits)) == brute(rows, 6)
+
+
+def test_words_that_share_a_polynomial_hash(spark):
+    """Two words whose hashes are equal for every odd base modulo 2**64."""
+    a, b = "ab", "ba"
+    for _ in range(10):
+        a, b = a + b, b + a
+    head = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{b} {head}"), (4, f"{a} {head}")]
+    assert [r[2] for r in run(spark, rows)] == [0, 0, 0, 0] and run(spark, rows) == brute(rows, 35)
+
+
+def test_hot_anchor(spark):
+    """One line in every text, behind and before other words; some neighbourhoods repeat."""
+    rng = random.Random(6)
+    line = " ".join(f"h{k}" for k in range(30))
+    rows = [(k, f"{' '.join(f'a{rng.randrange(3)}' for _ in range(rng.randrange(9)))} {line} {' '.join(f'b{rng.randrange(3)}' for _ in range(rng.randrange(9)))}") for k in range(400)]
+    assert run(spark, rows, limits=sd.Limits(often=4)) == brute(rows, 35)
+    assert run(spark, rows, limits=sd.Limits(task_windows=60, often=4, contexts=7, context_bytes=2000)) == brute(rows, 35)
 
 
 def test_long_text_in_steps(spark):
