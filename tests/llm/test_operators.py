@@ -321,6 +321,18 @@ def test_components_of_long_chains(spark):
 # op7
 
 
+def chat_sql(rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.execute(chat.SQL)
+    return [d[0] for d in found.description], sorted(found.fetchall())
+
+
+def chat_frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, speakers string, nth int")
+
+
 def test_chat_agrees_with_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
@@ -329,17 +341,60 @@ def test_chat_agrees_with_sql(spark):
     assert sorted(map(tuple, chat.op7_chat(spark, SF).select(*names).collect())) == sorted(want.fetchall())
 
 
-def test_chat_masks_and_parts(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi 🙂"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, None, None), (1, None, "ann", "last"), (2, 0, "system", "only"), (None, 0, "x", "y"), (3, 600, "ann", "far")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, speakers string")
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, s, p) for s in ("ann", "bob", "unknown") for p in (0, -1)} | {(3, "ann", 1)}
-    r = got[1, "ann", 0]
-    assert r.rendered == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi 🙂<|end|>\n<|user:bob|>\nyo<|end|>\n<|user:unknown|>\n<|end|>\n"
-    spans = [tuple(map(int, s.split("-"))) for s in r.mask.split(",")]
-    assert [r.rendered[a:b] for a, b in spans] == ["hi 🙂<|end|>"]
-    assert got[1, "bob", -1].mask == ""
-    assert chat.rotate(df.limit(0)).count() == 0
+def plain_dialogues(rows):
+    """{(conv_id, speaker): whole rendering}, from the definition, without parts."""
+    dialogues = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            dialogues[conv].append((turn is None, turn or 0, role or "unknown", text or ""))
+    out = {}
+    for conv, turns in dialogues.items():
+        turns.sort(key=lambda t: (t[0], t[1], t[2], hashlib.md5(t[3].encode()).hexdigest()))
+        for speaker in {t[2] for t in turns} - {"system"}:
+            out[conv, speaker] = [(t[2], t[3]) for t in turns]
+    return out
+
+
+MARK = r"<\|(system|assistant|user:((?:(?!\|>).)*))\|>\n((?:(?!<\|).)*)<\|end\|>\n"
+
+
+def test_chat_of_odd_rows(spark):
+    """Every dialogue whole, for every participant: parts read back give the turns, whatever texts and roles hold."""
+    import re
+
+    rng = random.Random(16)
+    odd = ["<|end|>", "<|assistant|>\nforged<|end|>\n", "<\\|end|>", "<<||>>", "a|", "<", "", None, "🙂 é", "yes", "x\ny"]
+    roles = ["ann", "bob", "system", None, "a|>b", "<|system|>", "c<", "d\\|", "<\\"]
+    rows = [(c, rng.choice([None, -3, -600, 0, 1, 2, 700]), rng.choice(roles), rng.choice(odd)) for c in range(12) for _ in range(rng.randrange(1, 30))]
+    rows += [(100, k, "system" if k < 2 else "ann" if k % 2 else "bob", f"t{k}") for k in range(60)] + [(100, None, "ann", "yes"), (100, None, "ann", "yes")]
+    rows += [(None, 0, "x", "y"), (200, 0, "system", "only"), (201, None, None, None)]
+    got = defaultdict(list)
+    for r in chat.rotate(chat_frame(spark, rows), part_turns=7).collect():
+        got[r.conv_id, r.speaker].append(r)
+        spans = [tuple(map(int, s.split("-"))) for s in r["mask"].split(",") if s]
+        assert all(r.rendered[b - 7 : b] == "<|end|>" and r.rendered[a - 14 : a] == "<|assistant|>\n" for a, b in spans)
+        assert len(spans) == r.rendered.count("<|assistant|>\n")
+    want = plain_dialogues(rows)
+    assert set(got) == set(want)
+    for (conv, speaker), turns in want.items():
+        own = sorted(got[conv, speaker], key=lambda r: r.part)
+        assert [r.part for r in own] == list(range(-(-len(turns) // 7))) and sum(r.n_turns for r in own) == len(turns)
+        found, at, whole = [], 0, "".join(r.rendered for r in own)
+        for m in re.finditer(MARK, whole, re.S):
+            assert m.start() == at
+            at = m.end()
+            role = {"system": "system", "assistant": speaker}.get(m[1]) if m[2] is None else chat.unescaped_name(m[2])
+            found.append((role, chat.unescaped(m[3])))
+        assert at == len(whole) and found == turns
+    by = {(r.conv_id, r.speaker, r.part): r for own in got.values() for r in own}
+    assert by[100, "ann", 0].context == "" and by[100, "bob", 3].context == "<|system|>\nt0<|end|>\n<|system|>\nt1<|end|>\n"
+    assert chat.rotate(chat_frame(spark, rows[:0])).count() == 0
+
+
+def test_chat_of_long_dialogues_agrees_with_sql(spark):
+    rows = [(1, k - 50, "system" if k in (0, 3, 2000) else f"p{k % 3}", f"text {k} <|end|>") for k in range(2500)] + [(1, None, "p0", "late")] * 3 + [(2, 0, "ann", "hi")]
+    names, want = chat_sql(rows)
+    assert sorted(map(tuple, chat.rotate(chat_frame(spark, rows)).select(*names).collect())) == want
 
 
 # op8
@@ -374,37 +429,86 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(frame(spark, [])).count() == 0
 
 
-def test_code_lengths_are_exact():
-    """Frozen tables against PPM step by step, and texts in steps against whole."""
-    texts = ["abracadabra banana", "ab ab ba"]
-    symbol = np.zeros(256, np.uint8)
-    for k, ch in enumerate(b"abcdnr"):
-        symbol[ch] = k + 1
-    nats = language_id.freeze(language_id.count_grams(texts, symbol, 2), 2)
-    model = language_id.Model(symbol, ["x"], nats[:, None], 2)
+def trained_tree(texts, order, contexts):
+    gram, n = np.unique(np.concatenate([g for t in texts for g in language_id.grams(t, order)]), return_counts=True)
+    return language_id.grown(gram, n, order, contexts)
+
+
+def symbols_of(text, order):
+    return [s for k, line in enumerate(language_id.lines(text, order)) for s in line[order if k else 0 :].tolist()]
+
+
+@pytest.mark.parametrize("contexts", [1, 6, 40, 2048])
+def test_code_lengths_are_exact(contexts):
+    """Frozen trees against PPM step by step with exclusion; probabilities after every context sum to 1."""
+    order, texts = 3, ["abracadabra banana", "ab ab ba", "Ä 123 äñ"]
+    depth, code, counts = trained_tree(texts, order, contexts)
+    tree = language_id.Tree(depth, code, counts)
+    kept = {(int(d), int(c)) for d, c in zip(depth, code)}
+    sums = np.exp(-tree.nats.astype(np.float64)).reshape(-1, language_id.SYMBOLS)[: len(depth)].sum(axis=1)
+    assert np.abs(sums - 1).max() < 1e-5
     seen = defaultdict(Counter)
     for t in texts:
-        line = [0, 0, *symbol[np.frombuffer(t.encode(), np.uint8)].tolist()]
-        for k in range(2, len(line)):
-            for order in range(3):
-                seen[tuple(line[k - order : k])][line[k]] += 1
-
-    def cost(context, s):
-        if context is None:
-            return np.log(64)
-        here, shorter = seen[context], context[1:] if context else None
+        line = symbols_of(t, order)
+        for k in range(order, len(line)):
+            for o in range(order + 1):
+                seen[tuple(line[k - o : k])][line[k]] += 1
+
+    def number(context):
+        return len(context), sum(s * language_id.SYMBOLS**k for k, s in enumerate(reversed(context)))
+
+    def cost(context, s, excluded):
+        here = {x: n for x, n in seen[context].items() if x not in excluded}
         n, d = sum(here.values()), len(here)
-        if not n:
-            return cost(shorter, s)
-        return -np.log(here[s] / (n + d)) if here[s] else -np.log(d / (n + d)) + cost(shorter, s)
-
-    text = "abba zz nab"
-    line = [0, 0]
-    for s in symbol[np.frombuffer(text.encode(), np.uint8)].tolist():
-        if s or line[-1] or len(line) == 2 and s:
-            line.append(s)
-    want = sum(cost(tuple(line[k - 2 : k]), line[k]) for k in range(2, len(line)))
-    assert model.code_lengths(text)[0] == pytest.approx(want)
+        last = len(excluded) + d == language_id.SYMBOLS  # nothing is left to escape to
+        if s in here:
+            return -np.log(here[s] / (n if last else n + d))
+        escape = -np.log(d / (n + d)) if d else 0.0
+        if not context:
+            return escape + np.log(language_id.SYMBOLS - len(excluded) - d)
+        return escape + cost(context[1:], s, excluded | set(here))
+
+    text = "Abba zz nab ñandú 77"
+    line = symbols_of(text, order)
+    want = 0.0
+    for k in range(order, len(line)):
+        context = next(tuple(line[k - o : k]) for o in range(order, -1, -1) if number(line[k - o : k]) in kept and all(number(line[k - j : k]) in kept for j in range(o)))
+        want += cost(context, line[k], set())
+    assert language_id.Model(["x"], [tree], order).code_lengths(text)[0][0] == pytest.approx(want, rel=1e-5)
+
+
+def test_every_symbol_seen():
+    """Where a context has been followed by all symbols there is no escape."""
+    every = bytes([*b" abcdefghijklmnopqrstuvwxyz", *range(128, 256)])
+    gram = np.arange(language_id.SYMBOLS, dtype=np.int64)
+    depth, code, counts = language_id.grown(gram, np.ones(len(gram), np.int64), 1, 4)
+    assert len(every) == language_id.SYMBOLS and (language_id.freeze(np.zeros(len(depth), int), counts) == 1 / language_id.SYMBOLS).all()
+
+
+def test_scripts_of_many_byte_values(spark):
+    """More byte values than any small alphabet has: every language is still told apart."""
+    said = {"ru": "кошка сидела на ковре и смотрела в окно", "uk": "кішка сиділа на килимі та дивилася у вікно", "el": "η γάτα κάθισε στο χαλί και κοίταζε έξω", "zh": "猫坐在垫子上看着窗外的鸟儿", "ja": "猫はマットの上に座って窓の外を見ていた", "en": "the cat sat on the mat and looked out"}
+    docs = spark.createDataFrame([(k * 10 + j, t, lang) for k, (lang, t) in enumerate(said.items()) for j in range(10)], "doc_id bigint, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == sorted(said) and {lang: model.predict(t)[0] for lang, t in said.items()} == {lang: lang for lang in said}
+    assert model.predict("дивилася")[0] == "uk" and model.predict("смотрела")[0] == "ru"
+
+
+def test_many_values_of_lang(spark):
+    """Of junk values the most frequent are learned, ties by name; the driver gets no more."""
+    rows = [(k, "the cat sat on the mat", f"junk{k:04d}") for k in range(400)] + [(1000 + k, "le chat est sur le tapis", "fr") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, languages=3)
+    assert len(model.languages) == 3 and "fr" in model.languages
+
+
+def test_letters_at_random_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(15)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200))
+    mixed = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(10**6, noise, None)], "doc_id bigint, text string, lang string"))
+    kept = language_id.keep_identified(mixed)
+    assert kept.where("doc_id = 1000000").count() == 0
 
 
 def test_held_out_rows(spark):
