@@ -6,8 +6,8 @@ encoding of a prefix is found by cutting at its last token. So it is enough to
 store, for each byte prefix, the one valid last token: of the tokens that end
 the prefix, the one that is compatible with the last token of what stands
 before it. Reading last tokens backwards gives the encoding. More bytes at the
-end only add entries (exact appends), and an edit invalidates only what stands
-behind it (`Prefixes.edit`).
+end only add entries (exact appends), and after an edit entries are made anew
+only until they fall in with the old ones (`Prefixes.edit`).
 
 Two tokens are compatible when encoding their concatenation gives just them;
 that is decided once a pair, by undoing and redoing merges at their border,
@@ -166,12 +166,26 @@ class Prefixes:
         for end in range(first + 1, len(self.data) + 1):
             self.last.append(self.vocabulary.last_token(self.data, end, self.last.__getitem__))
 
-    def edit(self, begin: int, end: int, data: bytes) -> None:
-        """Replace bytes begin..end: prefixes up to begin keep their entries, what follows is encoded again."""
-        behind = self.data[end:]
-        del self.last[begin + 1 :]
-        self.data = self.data[:begin]
-        self.append(data + behind)
+    def edit(self, begin: int, end: int, data: bytes) -> int:
+        """Replace bytes begin..end; the number of prefixes that were encoded again.
+
+        Prefixes up to begin keep their entries. Behind the edit an entry depends on the `longest` entries
+        before it and on bytes that haven't changed, so once so many in a row are what they were before,
+        all that follow are, and keep their old entries.
+        """
+        old, longest = self.last, self.vocabulary.longest
+        changed, moved = begin + len(data), begin + len(data) - end
+        self.data = self.data[:begin] + data + self.data[end:]
+        self.last = old[: begin + 1]
+        alike = 0
+        for at in range(begin + 1, len(self.data) + 1):
+            self.last.append(self.vocabulary.last_token(self.data, at, self.last.__getitem__))
+            if at >= changed:
+                alike = alike + 1 if self.last[at] == old[at - moved] else 0
+                if alike >= longest:
+                    self.last += old[at - moved + 1 :]
+                    return at - begin
+        return len(self.data) - begin
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
