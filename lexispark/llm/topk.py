@@ -12,9 +12,12 @@ largest bound first, and only for vectors whose score so far plus the bounds
 that are left still competes. Ties go to the smaller id, so a vector competes
 as long as it can reach the threshold.
 
-Vectors are packed into shards of `SHARD` rows, queries into blocks of `BLOCK`;
-every query block visits every shard, in tasks that hold one of each. A task
-gives k rows a query and shard, and the k best of those are the result.
+Vectors are packed into shards of `SHARD` rows, queries into blocks of `BLOCK`.
+Shards and blocks span a table that is cut into tiles of up to `TILE_SHARDS`
+by `TILE_BLOCKS`, so a shard is sent once for each column of tiles and a block
+once for each row of them. A task holds a tile's queries and lets its shards
+pass by; thresholds go from shard to shard. It gives k rows a query, and the k
+best of all tiles are the result.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ K = 5
 SHARD = 8192
 BLOCK = 512
 SCALE = 256.0
+#: A tile at most: 65,536 queries, which a task holds, and 524,288 vectors, which it doesn't.
+TILE_SHARDS, TILE_BLOCKS = 64, 128
 #: Within a shard, vectors are visited in portions, so that thresholds rise early.
 PORTION = 1024
 #: Scores below this are exact in floating point.
@@ -51,8 +56,8 @@ class Shard:
         self.low, self.high = self.rows.min(axis=0), self.rows.max(axis=0)
         self.work = self.rows.astype(np.float64) if self.small else self.rows
 
-    def top(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) but for the query's own id, by MaxScore."""
+    def top(self, query: np.ndarray, own_id: int, k: int, best: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """The k best (score, id) of these vectors, but for the query's own id, and of `best`, by MaxScore."""
         small = self.small and len(query) * float(np.abs(query).max(initial=0)) * float(np.abs(self.rows).max(initial=0)) < EXACT
         kind = np.float64 if small else object
         q = query.astype(kind)
@@ -62,7 +67,7 @@ class Shard:
         order = np.argsort(-bound.astype(np.float64), kind="stable")  # largest bound first
         rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], np.zeros(1, kind)])  # bounds from each place on
         base = least.sum()
-        best: list[tuple[int, int]] = []
+        best = list(best)
         for begin in range(0, len(self.ids), PORTION):
             part = work[begin : begin + PORTION]
             ids = self.ids[begin : begin + PORTION]
@@ -101,7 +106,7 @@ def quantised(vectors: DataFrame, vector: str) -> DataFrame:
 
 
 def _packed(rows: DataFrame, group: str, wide: int) -> DataFrame:
-    """One row for each group: ids and values of its vectors as little-endian longs; short vectors are filled with zeros."""
+    """One row for each group: ids and values of its vectors, little-endian, values in as few bytes as hold them; short vectors are filled with zeros."""
     filled = F.concat("values", F.array_repeat(F.lit(0).cast("long"), F.lit(wide) - F.size("values")))
     rows = rows.select(group, "vec_id", filled.alias("values"))
 
@@ -109,8 +114,9 @@ def _packed(rows: DataFrame, group: str, wide: int) -> DataFrame:
         at, ids, values = None, [], []
 
         def packed() -> pa.RecordBatch:
-            data = np.concatenate(values).astype("<i8").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([data], pa.binary())], names=[group, "ids", "data"])
+            data = np.concatenate(values)
+            small = max(-int(data.min()) - 1, int(data.max())) < 1 << 15
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()]), pa.array([data.astype("<i2" if small else "<i8").tobytes()], pa.binary())], names=[group, "ids", "data"])
 
         for batch in batches:
             groups = batch.column(0).to_numpy()
@@ -132,6 +138,18 @@ def _packed(rows: DataFrame, group: str, wide: int) -> DataFrame:
     return rows.mapInArrow(lean(run, "topk"), f"{group} bigint, ids binary, data binary")
 
 
+def _vectors(ids: bytes, data: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, "<i8")
+    return names, np.frombuffer(data, "<i2" if len(data) == 2 * len(names) * wide else "<i8").astype(np.int64).reshape(-1, wide)
+
+
+def _tiles(shards: int, blocks: int, tasks: int) -> tuple[int, int]:
+    """Rows and columns of tiles: as few as tile sizes allow, and `tasks` together where there is so much to deal out."""
+    rows, cols = -(-shards // TILE_SHARDS), -(-blocks // TILE_BLOCKS)
+    rows = min(shards, max(rows, -(-tasks // cols)))
+    return rows, min(blocks, max(cols, -(-tasks // rows)))
+
+
 def search(vectors: DataFrame, vector: str = "embedding", every: int = 50, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Each query's k best other vectors: query_id, rank, vec_id, score.
 
@@ -141,36 +159,56 @@ def search(vectors: DataFrame, vector: str = "embedding", every: int = 50, k: in
     missing components count as zero. Rows that repeat an id are candidates
     like any other, and queries like any other once for each different vector;
     a query is never its own candidate, nor is another row of its id. An empty
-    table, or one without queries, gives an empty result.
+    table, or one without queries, gives an empty result. Components whose
+    floor(256 x) is beyond a long become the nearest long, and scores beyond
+    one fail the query instead of turning round.
     """
+    spark = vectors.sparkSession
     rows = stored(quantised(columns(vectors, "vec_id", vector), vector), "vectors")
-    count, wide = rows.agg(F.count("*"), F.max(F.size("values"))).first()
-    if not count or not wide:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    shards = -(-count // shard)
+    is_query = F.col("vec_id") % every == 0
+    count, wide, asked = rows.agg(F.count("*"), F.max(F.size("values")), F.count_if(is_query)).first()
+    if not count or not wide or not asked:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    shards, blocks = -(-count // shard), -(-asked // block)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tile_rows, tile_cols = _tiles(shards, blocks, tasks)
     spread = rows.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), "vec_id", "values")
-    tasks = min(shards, max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 64))
-    candidates = _packed(spread.repartition(tasks, "shard").sortWithinPartitions("shard"), "shard", wide)
-    queries = rows.where(F.col("vec_id") % every == 0).distinct()
-    blocks = -(-rows.where(F.col("vec_id") % every == 0).count() // block)
-    if not blocks:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    blocked = queries.select(F.pmod(F.xxhash64("vec_id", "values"), F.lit(blocks)).alias("block"), "vec_id", "values")
-    packed = _packed(blocked.repartition(min(blocks, tasks), "block").sortWithinPartitions("block"), "block", wide)
-    visits = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    met = candidates.join(visits, "shard").select("ids", "data", "q_ids", "q_data")
+    candidates = _packed(spread.repartition(min(shards, max(tasks, shards // 64)), "shard").sortWithinPartitions("shard"), "shard", wide)
+    queries = rows.where(is_query).distinct().select(F.pmod(F.xxhash64("vec_id", "values"), F.lit(blocks)).alias("block"), "vec_id", "values")
+    packed = _packed(queries.repartition(min(blocks, tasks), "block").sortWithinPartitions("block"), "block", wide)
+
+    def copies(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # queries come before the shards of their tile
+    tile = (F.col("row") * tile_cols + F.col("col")).cast("int").alias("tile")
+    of_queries = packed.select(copies(tile_rows).alias("row"), F.pmod("block", F.lit(tile_cols)).alias("col"), F.lit(-1).cast("long").alias("shard"), "ids", "data").select(tile, "shard", "ids", "data")
+    of_shards = candidates.select(F.pmod("shard", F.lit(tile_rows)).alias("row"), copies(tile_cols).alias("col"), "shard", "ids", "data").select(tile, "shard", "ids", "data")
+    met = of_queries.unionByName(of_shards).repartitionById(tile_rows * tile_cols, F.col("tile")).sortWithinPartitions("tile", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: int | None = None
+        asked: list[tuple[int, np.ndarray]] = []
+        best: list[list[tuple[int, int]]] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for begin in range(0, len(asked), 1024):
+                out = [(q, xxhash.xxh64_intdigest(row.tobytes()) >> 1, i, s) for (q, row), own in zip(asked[begin : begin + 1024], best[begin : begin + 1024], strict=True) for s, i in own]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["query_id", "query_print", "vec_id", "score"])
+
         for batch in batches:
-            for ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                here = Shard(np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i8").reshape(-1, wide))
-                asked = np.frombuffer(q_data, "<i8").reshape(-1, wide)
-                found = [(q, kth, *best) for kth, (q, row) in enumerate(zip(np.frombuffer(q_ids, "<i8").tolist(), asked, strict=True)) for best in here.top(row, q, k)]
-                prints = [xxhash.xxh64_intdigest(asked[f[1]].tobytes()) >> 1 for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], pa.int64()), pa.array(prints, pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())],
-                    names=["query_id", "query_print", "vec_id", "score"],
-                )
+            for tile, kind, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != at:
+                    yield from found()
+                    at, asked, best = tile, [], []
+                names, values = _vectors(ids, data, wide)
+                if kind < 0:
+                    asked += zip(names.tolist(), values, strict=True)
+                    best += [[] for _ in names]
+                else:
+                    here = Shard(names, values)
+                    best = [here.top(row, q, k, own) for (q, row), own in zip(asked, best, strict=True)]
+        yield from found()
 
     found = met.mapInArrow(lean(run, "topk"), "query_id bigint, query_print bigint, vec_id bigint, score bigint")
     order = W.partitionBy("query_id", "query_print").orderBy(F.desc("score"), "vec_id")

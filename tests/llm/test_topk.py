@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from lexispark.llm import topk
 
@@ -30,6 +31,22 @@ def test_against_brute_force(spark):
     assert run(spark, rows, shard=64, block=3, k=3) == brute(rows, k=3)
 
 
+def test_tiles(spark, monkeypatch):
+    """Many shards and blocks in few tiles, so that thresholds go from shard to shard; and tiles cover the table."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(0, 0.2, 8) + (i % 7) / 10).astype(np.float32).tolist(), "x") for i in range(900)]
+    monkeypatch.setattr(topk, "TILE_SHARDS", 5)
+    monkeypatch.setattr(topk, "TILE_BLOCKS", 2)
+    assert run(spark, rows, every=10, shard=16, block=4) == brute(rows, every=10)
+    assert topk._tiles(57, 23, 4) == (12, 12) and topk._tiles(7, 3, 12) == (6, 2) and topk._tiles(1, 1, 12) == (1, 1)
+
+
+def test_scores_beyond_a_long_fail(spark):
+    rows = [(0, [3e30, 1.0], "x"), (1, [3e30, 1.0], "x")]
+    with pytest.raises(Exception, match="(?i)overflow|too large|out of"):
+        run(spark, rows)
+
+
 def test_large_values_are_exact(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(0, 1, 8) * 2.0**20).astype(np.float32).tolist(), "x") for i in range(120)]
