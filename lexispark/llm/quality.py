@@ -7,8 +7,8 @@ each filter over a chunk, and, over the chunks of a document, both the largest
 and the mean of those maxima; a logistic layer makes one probability of them.
 
 The network learns on the driver from a bounded sample of labelled rows that
-are not held out, by Adam; scoring is one pass of the executors over all
-texts, without a shuffle.
+are not held out, by Adam, from every chunk of each; scoring is one pass of
+the executors over all texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ FILTERS = 8
 WIDTH = 4
 #: Bytes of a chunk; chunks overlap by WIDTH - 1, so that every window of WIDTH bytes lies in one.
 CHUNK = 512
-#: Learning reads about this many labelled documents at most, each of them whole.
+#: Learning reads this many labelled documents at most, each of them whole,
 TRAIN_DOCS = 2_000
+#: and of those, in the order of their hashes, as many as have this many bytes together.
+TRAIN_BYTES = 64 << 20
 EPOCHS = 12
 THRESHOLD = 0.3
 #: Bytes scored at once, also in learning.
@@ -82,8 +84,34 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Learn from texts and labels (0 or 1); classes weigh alike however many rows each has."""
+def gradient(net: Network, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean log loss over texts, given as their chunks, by each parameter."""
+    sizes = np.array(list(map(len, texts)))
+    stack = np.concatenate(texts)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    found = [net.maxima(stack[k : k + STEP // CHUNK]) for k in range(0, len(stack), STEP // CHUNK)]
+    raw, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    peaks = np.maximum(raw + net.bias, 0)
+    lead = np.array([peaks[b : b + n].argmax(axis=0) + b for b, n in zip(starts, sizes, strict=True)])  # the chunk of each text's largest maximum
+    lane = np.arange(FILTERS)
+    average = np.add.reduceat(peaks, starts, axis=0) / sizes[:, None]
+    feats = np.concatenate([peaks[lead, lane], average], axis=1)
+    p = 1 / (1 + np.exp(-np.clip(feats @ net.top + net.top_bias, -60, 60)))
+    dz = (p - labels) * weight / len(texts)
+    dfeat = dz[:, None] * net.top[None, :]
+    # that chunk takes the gradient of the largest maximum, every chunk its share of the mean
+    dpeak = dfeat[doc, FILTERS:] / sizes[doc][:, None]
+    np.add.at(dpeak, (lead, lane[None, :]), dfeat[:, :FILTERS])
+    dpeak *= peaks > 0
+    conv = np.zeros(net.conv.shape)
+    for k in range(WIDTH):
+        np.add.at(conv[k], (stack[np.arange(len(stack))[:, None], at + k], lane[None, :]), dpeak)
+    return {"conv": conv, "bias": dpeak.sum(axis=0), "top": feats.T @ dz, "top_bias": np.array([dz.sum()])}
+
+
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """Learn from texts (UTF-8) and labels (0 or 1); classes weigh alike however many rows each has."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.3, 2 * FILTERS), 0.0)
     share = float(np.mean(labels)) if len(labels) else 0.5
@@ -93,65 +121,52 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         net.top[:] = 0
         net.top_bias = float(np.log(p / (1 - p)))
         return net
-    rows = [chunked(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)) for text in texts]
+    rows = [chunked(np.frombuffer(text, np.uint8)) for text in texts]
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     params = {"conv": net.conv, "bias": net.bias, "top": net.top, "top_bias": np.zeros(1)}
+    decay = {"conv": 1e-5, "bias": 0.0, "top": 1e-4, "top_bias": 0.0}
     mean = {k: np.zeros_like(v, np.float64) for k, v in params.items()}
     square = {k: np.zeros_like(v, np.float64) for k, v in params.items()}
     step = 0
     for epoch in range(epochs):
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // 32)):
             step += 1
-            own = [rows[k] for k in batch]
-            sizes = [len(r) for r in own]
-            stack = np.concatenate(own)
-            doc = np.repeat(np.arange(len(batch)), sizes)
-            found = [net.maxima(stack[k : k + STEP // CHUNK]) for k in range(0, len(stack), STEP // CHUNK)]
-            raw, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            peaks = np.maximum(raw + net.bias, 0)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            most = np.maximum.reduceat(peaks, starts, axis=0)
-            average = np.add.reduceat(peaks, starts, axis=0) / np.array(sizes)[:, None]
-            feats = np.concatenate([most, average], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(feats @ net.top + params["top_bias"][0], -60, 60)))
-            dz = (p - labels[batch]) * weight[batch] / len(batch)
-            grad = {"top": feats.T @ dz + 1e-4 * net.top, "top_bias": np.array([dz.sum()])}
-            dfeat = dz[:, None] * net.top[None, :]
-            # the largest chunk of a document takes the gradient of "most", every chunk its share of "average"
-            dpeak = dfeat[doc, FILTERS:] / np.array(sizes)[doc][:, None]
-            dpeak += np.where(peaks == most[doc], dfeat[doc, :FILTERS], 0)
-            dpeak *= peaks > 0
-            grad["bias"] = dpeak.sum(axis=0)
-            conv = np.zeros(net.conv.shape)
-            lane = np.arange(FILTERS)
-            for k in range(WIDTH):
-                np.add.at(conv[k], (stack[np.arange(len(stack))[:, None], at + k], lane[None, :]), dpeak)
-            grad["conv"] = conv + 1e-5 * net.conv
             rate = 0.02 * (1 - epoch / epochs) + 0.001
-            for name, g in grad.items():
+            for name, g in gradient(net, [rows[k] for k in batch], labels[batch], weight[batch]).items():
+                g = g + decay[name] * params[name]
                 mean[name] += 0.1 * (g - mean[name])
                 square[name] += 0.01 * (g * g - square[name])
                 params[name] -= (rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-8)).astype(params[name].dtype)
-    net.top_bias = float(params["top_bias"][0])
+            net.top_bias = float(params["top_bias"][0])
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, n_bytes: int = TRAIN_BYTES) -> Network:
     """Learn labels.quality from texts of rows that are not held out; null labels, ids and texts are skipped.
 
-    At most about `limit` documents come to the driver: where more are
-    labelled, each is taken with probability limit / rows by a hash of its id.
-    Where an id has several labels the smallest counts.
+    At most `limit` documents come to the driver, those of the least hashes of
+    id and text, and of these as many as have `n_bytes` bytes together, each
+    whole (one that alone has more is passed over). Rows that repeat both id
+    and text are learned from once. Where an id has several labels the
+    smallest counts.
     """
     known = columns(labels, "doc_id", "quality").where(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = known.count()
-    if rows > limit:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * limit / rows))
-    # the sampled ids are bounded by `limit`; their texts are found without moving any other
-    few = known.limit(2 * limit)
-    found = columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality").toArrow().to_pandas()
-    found = found.sort_values(["doc_id", "text"], ignore_index=True)
-    return fit(found["text"].tolist(), found["quality"].to_numpy(np.float64))
+    if rows > limit:  # some more than are wanted, so that the others' texts need not be looked at
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.5 * limit / rows)))
+    texts = columns(docs, "doc_id", "text").where("text is not null")
+    named = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("print"), F.octet_length("text").alias("n"), "text")
+    order = F.xxhash64("doc_id", "print")
+    few = named.select("doc_id", "quality", "print", "n").distinct().orderBy(order, "doc_id", "print").limit(limit).collect()
+    chosen, left = [], n_bytes
+    for row in few:
+        if row.n <= left:
+            chosen.append((row.doc_id, row["print"]))
+            left -= row.n
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, print bigint")
+    found = named.join(F.broadcast(picked), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    got = found.select("doc_id", "print", "quality", F.col("text").cast("binary").alias("data")).toArrow().sort_by([("doc_id", "ascending"), ("print", "ascending")])
+    return fit(got["data"].to_pylist(), got["quality"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:

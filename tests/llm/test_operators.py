@@ -120,6 +120,25 @@ def test_appends_and_edits_are_exact():
         assert p.ids() == v.by_merges(data[:7] + b"zing" + data[13:])
 
 
+def test_edits_are_local_and_exact():
+    """An edit encodes what is near it, and gives what encoding the whole anew gives."""
+    v = byte_bpe.encoder(BYTES, public_tokenizers.PATTERN).vocabulary
+    rng = random.Random(11)
+    p = byte_bpe.Prefixes(v, bytes(rng.choice(b"theinorast ") for _ in range(20_000)))
+    done = []
+    for _ in range(60):
+        begin = rng.randrange(len(p.data))
+        end, new = min(len(p.data), begin + rng.randrange(6)), bytes(rng.choice(b"theinorast ") for _ in range(rng.randrange(6)))
+        want = p.data[:begin] + new + p.data[end:]
+        done.append(p.edit(begin, end, new))
+        assert p.data == want and len(p.last) == len(want) + 1
+    assert p.last == byte_bpe.Prefixes(v, p.data).last
+    assert sorted(done)[len(done) // 2] <= 3 * v.longest
+    for begin, end, new in ((0, 0, b"x"), (0, len(p.data), b"abc"), (3, 3, b""), (0, 1, b""), (1, 2, b""), (0, 1, b"")):
+        p.edit(begin, end, new)
+        assert p.last == byte_bpe.Prefixes(v, p.data).last
+
+
 def test_round_trip_of_odd_rows(spark):
     rows, library = odd_rows(), reference_bpe()
     got = byte_bpe.round_trip(frame(spark, rows), BYTES, public_tokenizers.PATTERN).collect()
@@ -214,15 +233,84 @@ def test_quality_learns_from_every_chunk():
     def text(good, at):
         filler = bytearray(rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 40 * quality.CHUNK).tobytes())
         filler[at * quality.CHUNK + 50 : at * quality.CHUNK + 58] = b"ZQZQZQZQ" if good else b"hgfedcba"
-        return filler.decode()
+        return bytes(filler)
 
     between = [2, 3, 8, 13, 19, 24, 30, 36]
     labels = np.array([float(k % 2) for k in range(128)])
     net = quality.fit([text(y, between[k // 2 % 8]) for k, y in enumerate(labels)], labels)
-    found = [net.score(text(k % 2, between[k // 2 % 8])) >= 0.5 for k in range(32)]
+    found = [net.score(text(k % 2, between[k // 2 % 8]).decode()) >= 0.5 for k in range(32)]
     assert np.mean([f == bool(k % 2) for k, f in enumerate(found)]) > 0.9
 
 
+def small_network(rng):
+    return quality.Network(rng.normal(0, 0.5, (quality.WIDTH, 256, quality.FILTERS)), rng.normal(0, 0.5, quality.FILTERS), rng.normal(0, 1, 2 * quality.FILTERS), 0.1)
+
+
+def plain_features(net, data):
+    """The convolution place by place: of each chunk each filter's largest sum, rectified, then the largest and the mean over chunks."""
+    size, width = quality.CHUNK, quality.WIDTH
+    data = np.concatenate([data, np.zeros(max(0, width - len(data)), np.uint8)])
+    peaks = []
+    for begin in range(0, len(data) - width + 1, size):
+        block = np.concatenate([data[begin : begin + size + width - 1], np.zeros(max(0, begin + size + width - 1 - len(data)), np.uint8)])
+        sums = [sum(net.conv[k][block[i + k]] for k in range(width)) for i in range(size)]
+        peaks.append(np.maximum(np.max(sums, axis=0) + net.bias, 0))
+    return np.concatenate([np.max(peaks, axis=0), np.mean(peaks, axis=0)])
+
+
+@pytest.mark.parametrize("n", [0, 3, 4, 515, 516, 2000, 600 * 512])
+def test_features_against_plain_convolution(n):
+    rng = np.random.default_rng(n)
+    net, data = small_network(rng), rng.integers(0, 256, n).astype(np.uint8)
+    if n > 10_000:  # more than are scored at once: chunks that differ only where they are looked for
+        data[:] = 7
+        data[5 * 512 + 9], data[-40] = 200, 100
+    assert net.features(data) == pytest.approx(plain_features(net, data))
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    net = small_network(rng)
+    texts = [quality.chunked(rng.integers(97, 123, n).astype(np.uint8)) for n in (10, 700, 1600, 1030, 40)]
+    labels, weight = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 0.5, 1, 1])
+
+    def loss():
+        total = 0.0
+        for rows, y, w in zip(texts, labels, weight):
+            peaks = np.maximum(net.maxima(rows)[0] + net.bias, 0)
+            z = np.concatenate([peaks.max(axis=0), peaks.mean(axis=0)]) @ net.top + net.top_bias
+            total += w * (np.log1p(np.exp(z)) - y * z)
+        return total / len(texts)
+
+    found = quality.gradient(net, texts, labels, weight)
+    for name, values in (("conv", net.conv), ("bias", net.bias), ("top", net.top)):
+        flat, own = values.reshape(-1), found[name].reshape(-1)
+        for k in rng.choice(np.flatnonzero(own), min(12, np.count_nonzero(own)), replace=False):
+            at, h = flat[k], 1e-6
+            flat[k] = at + h
+            up = loss()
+            flat[k] = at - h
+            assert own[k] == pytest.approx((up - loss()) / (2 * h), rel=1e-3, abs=1e-7), name
+            flat[k] = at
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    """Rows that repeat id and text count once, and texts beyond the bound in bytes stay out."""
+    docs = spark.createDataFrame([(1, "good text")] * 40 + [(2, "BAD!!!")] * 30 + [(3, "x" * 5000)] + [(k, f"good {k}") for k in range(10, 30)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k != 2)) for k in range(30)], "doc_id bigint, quality int")
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda texts, labels, **how: seen.append(texts) or fit(texts, labels, **how)
+    try:
+        quality.train(docs, labels, n_bytes=1000)
+        quality.train(docs, labels, limit=3)
+    finally:
+        quality.fit = fit
+    learnt = {k for k in (1, 2, 3, *range(10, 30)) if zlib.crc32(str(k).encode()) % 5}
+    assert sorted(seen[0]) == sorted(t for k, t in [(1, b"good text"), (2, b"BAD!!!")] + [(k, f"good {k}".encode()) for k in range(10, 30)] if k in learnt)
+    assert len(seen[1]) <= 3
+
+
 def test_quality_of_odd_rows(spark):
     rows = odd_rows()
     labels = spark.createDataFrame([(1, None), (2, 1), (3, 7), (None, 0), (4, 0), (4, 1), (7, 1)], "doc_id bigint, quality int")
@@ -239,7 +327,7 @@ def test_chunks_cover_whole_texts():
         assert rows.shape == (max(1, -(-(n - 3) // 512)), 515)
         whole = np.concatenate([r[:512] for r in rows[:-1]] + [rows[-1]])
         assert (whole[:n] == data).all() and not whole[n:].any()
-    net = quality.fit(["good text here"] * 5 + ["BAD!! TEXT!!"] * 5, np.array([1.0] * 5 + [0.0] * 5))
+    net = quality.fit([b"good text here"] * 5 + [b"BAD!! TEXT!!"] * 5, np.array([1.0] * 5 + [0.0] * 5))
     long = "good text here " * 40_000
     assert net.score(long + "BAD!! TEXT!! " * 50) != net.score(long)  # the end of a long text counts
 
