@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.shared import scratch, shared_dir, stored
 
-__all__ = ["columns", "each", "forgets", "fresh", "held_out", "lean", "partitions", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["columns", "each", "forgets", "fresh", "held_out", "lean", "partitions", "scratch", "shared_dir", "spread", "stored", "table"]
 
 #: The ASCII blanks that end a word.
 BLANK = r"[\x20\x09-\x0D]"
@@ -43,6 +43,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spread(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, total: int) -> DataFrame:
+    """big joined with small, which has one row for each key (never null) and, in `rows`, how many of big's `total` rows have that key.
+
+    Keys that a thousandth of all rows have are looked up where the rows are: there are a thousand of them at most,
+    so they are broadcast, and no key's rows need to meet in one task.
+    """
+    names = [key] if isinstance(key, str) else key
+    often = F.col(rows) >= max(1000, total // 1000)
+    hot = F.broadcast(small.where(often))
+    return big.join(hot, names).unionByName(big.join(hot.select(*names), names, "left_anti").join(small.where(~often), names))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all ids that nothing learns from: crc32(text of the id) mod 5 is 0. True for null ids."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))

@@ -4,7 +4,8 @@ Every step replaces edges by edges towards smaller nodes and keeps the
 components; in a few rounds each component is a star around its smallest node
 (Kiveris et al., 2014). Edges stay in DataFrames; each round is written to the
 shared folder, so lineage does not grow and nothing goes to the driver but two
-numbers.
+numbers. A node of many edges finds its least neighbour by a broadcast of such
+nodes, so its edges stay spread.
 """
 
 from __future__ import annotations
@@ -12,18 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import stored
+from lexispark.llm.common import spread, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread(both.where("v > u"), least, "u", "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = spread(edges, least, "u", "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,7 +38,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     before = _sum(now)
     while before[0]:
-        now = stored(_small_star(_large_star(now)), "edges")
+        now = stored(_small_star(_large_star(now, before[0]), before[0]), "edges")
         after = _sum(now)
         if after == before:
             break

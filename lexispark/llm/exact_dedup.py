@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import BLANK_RUN, columns, fresh, lean, partitions, stored, table
+from lexispark.llm.common import BLANK_RUN, columns, fresh, lean, partitions, spread, stored, table
 
 SLOTS = 4
 KICKS = 200
@@ -195,12 +195,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, digest, n_bytes) of every row; tie orders rows of equal doc_id."""
+    """(doc_id, tie, digest, n_bytes, print) of every row; tie is another for each row and orders rows of equal doc_id, print is a hash of the text as it is."""
     norm = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANK_RUN, " ")
     return (
         columns(docs, "doc_id", "text")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
-        .select("doc_id", F.monotonically_increasing_id().alias("tie"), F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"), F.xxhash64("text").alias("print"))
+        .select("doc_id", F.monotonically_increasing_id().alias("tie"), F.unhex(F.sha2("norm", 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), "print")
     )
 
 
@@ -222,11 +222,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     Input columns: doc_id, text; others are ignored. Null text counts as empty.
     The row with the smallest doc_id stays; null ids come after all others, and
     of rows that share both id and text one stays. An empty table gives an
-    empty result. Returns doc_id, keep_id, group_size, kept, text_sha256.
+    empty result; texts of any length are digested in the JVM, whole, and don't
+    move. Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
     keys = stored(keys_of(docs), "dedup-keys")
-    groups = groups_of(keys)
-    joined = keys.join(groups.withColumnRenamed("tie", "keep_tie"), ["digest", "n_bytes"])
+    groups = stored(groups_of(keys), "dedup-groups")
+    joined = spread(keys, groups.withColumnRenamed("tie", "keep_tie"), ["digest", "n_bytes"], "n_rows", keys.count())
     return joined.select(
         "doc_id",
         F.col("first_id").alias("keep_id"),
@@ -237,14 +238,17 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text a row with a smaller doc_id has; all columns stay as they are."""
+    """docs without the rows whose text a row with a smaller doc_id has; all columns stay as they are.
+
+    Nulls, blanks and repeated rows as in dedup(). A row that stays is found
+    again by its id and a hash of its text; texts move once.
+    """
     names = docs.columns
-    own, first, text = fresh(docs, "own_digest", "first_id", "first_digest")
+    own, first_id, first_print = fresh(docs, "own_print", "first_id", "first_print")
     keys = stored(keys_of(docs), "dedup-keys")
-    one = groups_of(keys).select(F.col("first_id").alias(first), F.col("digest").alias(text))
-    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), BLANK_RUN, " "), 256))
-    matched = docs.withColumn(own, digest).join(one, F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(own) == F.col(text)), "left_semi")
-    if not keys.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+    one = groups_of(keys).select("tie").join(keys, "tie").select(F.col("doc_id").alias(first_id), F.col("print").alias(first_print))
+    matched = docs.withColumn(own, F.xxhash64("text")).join(one, F.col("doc_id").eqNullSafe(F.col(first_id)) & (F.col(own) == F.col(first_print)), "left_semi")
+    if not keys.groupBy("doc_id", "print").count().where("count > 1").isEmpty():
         matched = matched.dropDuplicates(["doc_id", own])  # rows that repeat both id and text all match; one stays
     return matched.select(*[F.col(f"`{n}`") for n in names])
 

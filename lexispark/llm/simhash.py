@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, each, fresh, lean, partitions, stored, table
+from lexispark.llm.common import columns, each, fresh, lean, partitions, spread, stored, table
 from lexispark.llm.components import components
 
 RADIUS = 4
@@ -154,7 +154,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     keyed = keyed.select("print", bucket.alias("bucket"))
     sized = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / cell).cast("int")
-    met = keyed.join(sized, "bucket").select("print", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("print"), chunks).cast("int").alias("chunk"))
+    met = spread(keyed, sized, "bucket", "n", prints.count() * len(masks(radius))).select("print", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("print"), chunks).cast("int").alias("chunk"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = met.select("print", "bucket", "chunk", other.alias("other")).select(
         F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "print"
@@ -186,12 +186,13 @@ def groups(docs: DataFrame) -> DataFrame:
     an empty result.
     """
     prints = stored(fingerprints(docs), "simhash")
-    least = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    least = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "simhash-distinct")
     edges = stored(links(least), "simhash-links")
     joined = components(edges, "a", "b")  # (node, root): only nodes that have an edge
-    found = least.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "root", "component_id")
-    return prints.join(named, "print").select("doc_id", "text_hash", "print", "root", "component_id")
+    found = stored(least.join(joined.withColumnRenamed("node", "print"), "print", "left").select("print", "least", "n_docs", F.coalesce("root", "print").alias("root")), "simhash-roots")
+    roots = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n_prints"))
+    named = stored(spread(found, roots, "root", "n_prints", found.count()).select("print", "root", "component_id", "n_docs"), "simhash-components")
+    return spread(prints, named, "print", "n_docs", prints.count()).select("doc_id", "text_hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
