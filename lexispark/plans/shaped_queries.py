@@ -99,28 +99,15 @@ def fn_date_trunc(spark, sf):
     return t(spark, sf, "events").select("event_id", *[F.date_format(F.date_trunc(u, "ts"), "yyyy-MM-dd HH:mm:ss").alias(f"t_{u}") for u in _UNITS])
 
 
-@query("SELECT o_orderstatus, list_sort(list(x), 'ASC', 'NULLS FIRST') AS kept, count(*) AS n FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 1 END AS x FROM orders WHERE o_orderkey < 200) GROUP BY ALL")
-def agg_array_agg(spark, sf):
-    """array_agg keeps nulls."""
-    df = t(spark, sf, "orders").where("o_orderkey < 200").select("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, 1).alias("x"))
-    return df.groupBy("o_orderstatus").agg(F.sort_array(P.array_agg(F.col("x"))).alias("kept"), F.count("*").alias("n"))
-
-
-@query("SELECT l_returnflag, CAST(avg(l_quantity) AS DOUBLE) AS mean, min(l_shipdate) AS first_day, max(l_returnflag) AS word FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL")
-def agg_min_max_types(spark, sf):
-    return t(spark, sf, "lineitem").where("l_orderkey < 500").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mean"), F.min("l_shipdate").alias("first_day"), F.max("l_returnflag").alias("word"))
-
-
 @query("SELECT o_custkey, list_sort(list(x), 'ASC', 'NULLS FIRST') AS kept, count(*) AS n FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS x FROM orders) GROUP BY ALL")
-def agg_array_agg_whole(spark, sf):
-    """agg_array_agg over whole orders: a list for each customer, null for each order that isn't finished."""
+def agg_array_agg(spark, sf):
+    """array_agg keeps nulls: a list for each customer, null for each order that isn't finished."""
     df = t(spark, sf, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("x"))
     return df.groupBy("o_custkey").agg(F.sort_array(P.array_agg(F.col("x"))).alias("kept"), F.count("*").alias("n"))
 
 
 @query("SELECT l_returnflag, CAST(avg(l_quantity) AS DOUBLE) AS mean, min(l_shipdate) AS first_day, max(l_returnflag) AS word FROM lineitem GROUP BY ALL")
-def agg_min_max_types_whole(spark, sf):
-    """agg_min_max_types over whole lineitem."""
+def agg_min_max_types(spark, sf):
     return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("mean"), F.min("l_shipdate").alias("first_day"), F.max("l_returnflag").alias("word"))
 
 

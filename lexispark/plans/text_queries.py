@@ -183,12 +183,12 @@ Q["text_term_range"] = (text_term_range, f"{HAS} SELECT term, count(*) AS nums F
 
 
 def text_delete(spark, sf):
-    """Documents whose id divides by 7 are deleted: an anti-join at the query."""
-    dead = _docs(spark, sf).where("doc_id % 7 = 0").select("doc_id")
+    """German documents are deleted: an anti-join at the query."""
+    dead = table(spark, sf, "documents").where("lang = 'de'").select("doc_id")
     return searching.search(_postings(spark, sf).join(dead, "doc_id", "left_anti"), "the OR la")
 
 
-Q["text_delete"] = (text_delete, f"SELECT doc_id FROM ({_where("has('the') OR has('la')")}) WHERE doc_id % 7 <> 0")
+Q["text_delete"] = (text_delete, f"SELECT doc_id FROM ({_where("has('the') OR has('la')")}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 
 
 def flagship(spark, sf):
