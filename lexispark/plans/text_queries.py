@@ -1,14 +1,20 @@
-"""Boolean text search over documents, with SQL that says the same."""
+"""Boolean text search over documents, with SQL that says the same.
 
+Searches ask a kept index (`indexes.store`), which the first of them builds;
+text_postings and text_block_stats cut and index the texts themselves.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.plans.indexes import store
+from lexispark.shared import scratch
 from lexispark.sources.tables import table
 from lexispark.text import index as indexing
 from lexispark.text import search as searching
 from lexispark.text.query import must, must_not, parse_infix, parse_prefix, should, xor
+from lexispark.text.store import IndexStore
 from lexispark.text.tokenize import postings
 
 TOKENS = r"SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents"
@@ -23,7 +29,7 @@ def _docs(spark, sf) -> DataFrame:
 
 
 def _postings(spark, sf) -> DataFrame:
-    return postings(_docs(spark, sf))
+    return store(spark, sf).postings
 
 
 def _where(condition: str) -> str:
@@ -56,7 +62,7 @@ _search("text_with_should", must(["the", "of"]).with_should(must(["la", "de"])).
 
 
 def text_not(spark, sf):
-    return searching.search(_postings(spark, sf), must_not(["the"]), _docs(spark, sf))
+    return searching.search(_postings(spark, sf), must_not(["the"]), store(spark, sf).docs)
 
 
 Q["text_not"] = (text_not, f"{HAS} SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'the')")
@@ -70,15 +76,14 @@ Q["text_count"] = (text_count, f"SELECT count(*) AS n_docs FROM ({_where("has('w
 
 
 def text_postings(spark, sf):
-    return _postings(spark, sf)
+    return postings(_docs(spark, sf))
 
 
 Q["text_postings"] = (text_postings, f"{HAS} SELECT doc_id, term, CAST(tf AS SMALLINT) AS tf FROM p")
 
 
 def text_term_stats(spark, sf):
-    stats = indexing.term_stats(indexing.build(_docs(spark, sf)))
-    return stats.select("term", "nums", "n_blocks", F.round("selectivity", 9).alias("selectivity"))
+    return store(spark, sf).stats.select("term", "nums", "n_blocks", F.round("selectivity", 9).alias("selectivity"))
 
 
 Q["text_term_stats"] = (
@@ -88,7 +93,7 @@ Q["text_term_stats"] = (
 
 
 def text_stats_of(spark, sf):
-    return indexing.stats_of(indexing.term_stats(indexing.build(_docs(spark, sf))), ["the", "la", "zzzunknown"]).select("term", "nums", "n_blocks")
+    return indexing.stats_of(store(spark, sf).stats, ["the", "la", "zzzunknown"]).select("term", "nums", "n_blocks")
 
 
 Q["text_stats_of"] = (
@@ -108,14 +113,14 @@ Q["text_block_stats"] = (
 
 
 def text_block_search(spark, sf):
-    return searching.search_blocks(indexing.build(_docs(spark, sf)), "with AND (the OR of)")
+    return searching.search_blocks(store(spark, sf).blocks, "with AND (the OR of)")
 
 
 Q["text_block_search"] = (text_block_search, f"{ORDS} SELECT doc_ord FROM p JOIN d USING (doc_id) GROUP BY doc_ord HAVING bool_or(term = 'with') AND (bool_or(term = 'the') OR bool_or(term = 'of'))")
 
 
 def text_surviving_blocks(spark, sf):
-    return searching.surviving_blocks(indexing.build(_docs(spark, sf)), "with AND (the OR of)")
+    return searching.surviving_blocks(store(spark, sf).blocks, "with AND (the OR of)")
 
 
 Q["text_surviving_blocks"] = (
@@ -125,14 +130,14 @@ Q["text_surviving_blocks"] = (
 
 
 def text_bitmap_and(spark, sf):
-    return searching.count_bitmaps(indexing.bitmaps(indexing.build(_docs(spark, sf))), must(["the", "of", "with"]))
+    return searching.count_bitmaps(store(spark, sf).bitmaps, must(["the", "of", "with"]))
 
 
 Q["text_bitmap_and"] = (text_bitmap_and, f"SELECT count(*) AS n_docs FROM ({_where("has('the') AND has('of') AND has('with')")})")
 
 
 def text_bitmap_or(spark, sf):
-    return searching.count_bitmaps(indexing.bitmaps(indexing.build(_docs(spark, sf))), should(["the", "la", "der"]))
+    return searching.count_bitmaps(store(spark, sf).bitmaps, should(["the", "la", "der"]))
 
 
 Q["text_bitmap_or"] = (text_bitmap_or, f"SELECT count(*) AS n_docs FROM ({_where("has('the') OR has('la') OR has('der')")})")
@@ -191,6 +196,25 @@ def text_delete(spark, sf):
 Q["text_delete"] = (text_delete, f"SELECT doc_id FROM ({_where("has('the') OR has('la')")}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 
 
+def text_saved_index(spark, sf):
+    """An index built and saved, found again by its path and asked."""
+    path = scratch(spark, "saved-index")
+    IndexStore.save(_docs(spark, sf), path)
+    found = IndexStore.load(spark, path)
+    matched = searching.search(found.postings, must(["the", "of"])).select(F.lit("matched").alias("part"), F.col("doc_id").alias("n"))
+    counted = [found.table(name).agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name in ("postings", "blocks", "docs", "stats")]
+    for one in counted:
+        matched = matched.unionByName(one)
+    return matched
+
+
+Q["text_saved_index"] = (
+    text_saved_index,
+    f"{ORDS}, b AS (SELECT DISTINCT term, doc_ord // 512 AS block FROM p JOIN d USING (doc_id)) SELECT 'matched' AS part, doc_id AS n FROM ({_where("has('the') AND has('of')").removeprefix(HAS)})"
+    " UNION ALL SELECT 'postings', count(*) FROM p UNION ALL SELECT 'blocks', count(*) FROM b UNION ALL SELECT 'docs', count(*) FROM d UNION ALL SELECT 'stats', count(DISTINCT term) FROM p",
+)
+
+
 def flagship(spark, sf):
-    """A nested boolean search with scores."""
-    return searching.scored(_postings(spark, sf), "with AND (the OR of)")
+    """A nested boolean search with scores, from the texts."""
+    return searching.scored(postings(_docs(spark, sf)), "with AND (the OR of)")

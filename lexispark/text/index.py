@@ -10,27 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.shared import stored
+from lexispark.shared import partitions, stored
 from lexispark.text.tokenize import postings
 
 BLOCK = 512
 
 
-def with_ordinals(docs: DataFrame, doc_id: str = "doc_id", first: int = 0) -> DataFrame:
-    """docs with doc_ord, dense from `first` in order of doc_id.
+def ordinals(docs: DataFrame, doc_id: str = "doc_id", first: int = 0) -> DataFrame:
+    """(doc_id, doc_ord): dense ordinals from `first` in order of doc_id, one for each different id; only ids move.
 
     Ordinals are a range partition's rank plus what the partitions before hold,
     so nothing is sorted in one task. The ranks are written down once: ranges
     are cut by sampling and need not come out alike a second time.
     """
-    spark = docs.sparkSession
     ids = docs.select(F.col(doc_id).alias("doc_id")).distinct()
-    ordered = ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id")
+    ordered = ids.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id")
     numbered = ordered.select("doc_id", F.monotonically_increasing_id().alias("at"))
     numbered = stored(numbered.select("doc_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("nth")), "ordinals")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as before")
-    ords = numbered.join(before, "part").select("doc_id", (F.col("before") + F.col("nth") + first).alias("doc_ord"))
+    # a row a partition
+    return numbered.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("nth") + first).alias("doc_ord"))
+
+
+def with_ordinals(docs: DataFrame, doc_id: str = "doc_id", first: int = 0) -> DataFrame:
+    """docs with doc_ord; for rows that are small."""
+    ords = ordinals(docs, doc_id, first)
     return docs.join(ords, docs[doc_id] == ords["doc_id"]).select(docs["*"], "doc_ord")
 
 
@@ -42,9 +47,9 @@ def blocks(flat: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first: int = 0) -> DataFrame:
-    """The block index of a corpus."""
-    placed = with_ordinals(docs, doc_id, first)
-    return blocks(postings(placed, "doc_ord", text).withColumnRenamed("doc_id", "doc_ord"))
+    """The block index of a corpus. Texts are cut to terms where they are; (doc_id, term, tf) meet their ordinals."""
+    found = postings(docs, doc_id, text).join(ordinals(docs, doc_id, first), "doc_id")
+    return blocks(found.select("doc_ord", "term", "tf"))
 
 
 def flat(index: DataFrame) -> DataFrame:

@@ -85,10 +85,10 @@ def test_laws(flat):
 
 def test_infix_groups_to_the_left_and_words_are_greedy():
     assert str(parse_infix("a OR b AND c")) == "((a | b) & c)"
-    assert str(parse("ast AND ast AND (ast OR ast OR (ast AND ast))")) == "ast"
+    assert str(parse("oak AND (oak OR oak)")) == "oak"
     assert str(parse_infix("aANDb")) == "aandb"
     assert str(normalise(parse_infix("a AND b AND (c OR d OR (e AND f))"))) == "(a & b & (c | d | (e & f)))"
-    assert str(parse("10.251.43.147 AND x")) == "(10 & 251 & 43 & 147 & x)"
+    assert str(parse("v2.17-rc AND x")) == "(v2 & 17 & rc & x)"
     for bad in ("", "( a)", "a AND", " a", "a b", "''"):
         with pytest.raises(QueryError):
             parse_infix(bad)
