@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -124,3 +124,74 @@ def select(bitset: DataFrame, nth: list[int]) -> DataFrame:
     found = ranked(bitset).select("word", "bits", "before", F.explode(asked).alias("nth"))
     places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)
     return found.select("nth", (F.shiftleft("word", 6) + F.element_at(places, (F.col("nth") - F.col("before") + 1).cast("int"))).alias("id"))
+
+
+def with_range(bitset: DataFrame, low: int, high: int) -> DataFrame:
+    """The set with all ids from low to high, both included."""
+    return any_of([bitset, _span(bitset.sparkSession, low, high)])
+
+
+def without_range(bitset: DataFrame, low: int, high: int) -> DataFrame:
+    """The set without any id from low to high, both included; words outside stay as they are."""
+    first, last = low >> 6, high >> 6
+    bits = F.col("bits").bitwiseAND(F.bitwise_not(_within(F.col("word"), low, high)))
+    return bitset.select("word", F.when(F.col("word").between(first, last), bits).otherwise(F.col("bits")).alias("bits")).where("bits <> 0")
+
+
+def _within(word: Column, low: int, high: int) -> Column:
+    """The bits of a word between low's and high's, which are low to high."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    head, tail = signed(((1 << 64) - 1) ^ ((1 << (low & 63)) - 1)), signed((1 << ((high & 63) + 1)) - 1)
+    full = F.lit(-1).cast("long")
+    return F.when(word == low >> 6, F.lit(head)).otherwise(full).bitwiseAND(F.when(word == high >> 6, F.lit(tail)).otherwise(full))
+
+
+def _span(spark: SparkSession, low: int, high: int) -> DataFrame:
+    if high < low:
+        return spark.createDataFrame([], "word bigint, bits bigint")
+    return spark.range(low >> 6, (high >> 6) + 1).select(F.col("id").alias("word"), _within(F.col("id"), low, high).alias("bits"))
+
+
+def relation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether a is a subset of b, a superset, disjoint from it, the same set; and the sizes of and, or, a without b, one of both."""
+    x, y = F.coalesce("x", F.lit(0).cast("long")), F.coalesce("y", F.lit(0).cast("long"))
+    met = a.select("word", F.col("bits").alias("x")).join(b.select("word", F.col("bits").alias("y")), "word", "full")
+
+    def total(bits: Column) -> Column:
+        return F.coalesce(F.sum(F.bit_count(bits).cast("long")), F.lit(0).cast("long"))
+
+    counted = met.agg(total(x.bitwiseAND(y)).alias("n_and"), total(x.bitwiseOR(y)).alias("n_or"), total(x.bitwiseAND(F.bitwise_not(y))).alias("n_sub"), total(y.bitwiseAND(F.bitwise_not(x))).alias("n_over"))
+    return counted.select(
+        (F.col("n_sub") == 0).alias("is_subset"), (F.col("n_over") == 0).alias("is_superset"), (F.col("n_and") == 0).alias("is_disjoint"), (F.col("n_sub") + F.col("n_over") == 0).alias("is_equal"),
+        "n_and", "n_or", "n_sub", (F.col("n_sub") + F.col("n_over")).alias("n_xor"),
+    )
+
+
+#: Words of one serialised chunk: 65,536 ids, 8 KB.
+CHUNK_WORDS = 1024
+
+
+def serialised(bitset: DataFrame) -> DataFrame:
+    """(chunk, n, data): a row for each 65,536 ids that have a member; data is the chunk's 1,024 words, big-endian, lowest ids first, bit 0 of a word for its lowest id."""
+    placed = bitset.select(F.expr(f"word div {CHUNK_WORDS}").alias("chunk"), F.pmod("word", F.lit(CHUNK_WORDS)).cast("int").alias("k"), "bits")
+    held = placed.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("words"), F.sum(F.bit_count("bits").cast("long")).alias("n"))
+    hexes = F.transform(F.sequence(F.lit(0), F.lit(CHUNK_WORDS - 1)), lambda k: F.lpad(F.hex(F.coalesce(F.try_element_at("words", k), F.lit(0).cast("long"))), 16, "0"))
+    return held.select("chunk", "n", F.unhex(F.array_join(hexes, "")).alias("data"))
+
+
+def deserialised(chunks: DataFrame) -> DataFrame:
+    """The set that was serialised."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(CHUNK_WORDS - 1)))
+    words = chunks.select("chunk", k.alias("k"), F.hex("data").alias("h")).select((F.col("chunk") * CHUNK_WORDS + F.col("k")).alias("word"), F.substring("h", F.col("k") * 16 + 1, F.lit(16)).alias("h"))
+    # a word's halves, since a hexadecimal number of 16 digits is beyond a signed long
+    half = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("long")
+    bits = F.call_function("shiftleft", half(1), F.lit(32)).bitwiseOR(half(9))
+    return words.select("word", bits.alias("bits")).where("bits <> 0")
+
+
+def save(bitset: DataFrame, path: str) -> None:
+    serialised(bitset).write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return deserialised(spark.read.schema("chunk bigint, n bigint, data binary").parquet(path))
