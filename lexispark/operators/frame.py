@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,22 +67,31 @@ def limit(df: DataFrame, skip: int = 0, fetch: int | None = None) -> DataFrame:
     return out if fetch is None else out.limit(fetch)
 
 
-def similar_to(column: Column, pattern: str) -> Column:
-    """SQL SIMILAR TO: % and _ as in LIKE, | * + ? ( ) [ ] as in regular expressions, over the whole string."""
+def similar_to(column: Column, pattern: str, escape: str = "\\") -> Column:
+    """SQL SIMILAR TO: % and _ as in LIKE, | * + ? ( ) [ ] as in regular expressions, over the whole string.
+
+    The character behind `escape` (one character, or none) stands for itself. A bracket that isn't closed is an error.
+    """
+    if len(escape) > 1:
+        raise ValueError("an escape is one character")
     out, at = [], 0
     while at < len(pattern):
         c = pattern[at]
-        if c == "\\" and at + 1 < len(pattern):
-            out.append("\\" + pattern[at + 1])
+        if c == escape:
+            if at + 1 == len(pattern):
+                raise ValueError("nothing behind the escape")
+            out.append(re.escape(pattern[at + 1]))
             at += 1
         elif c == "[":
-            end = pattern.index("]", at + 1)
-            out.append(pattern[at : end + 1])
+            end = pattern.find("]", at + 2)
+            if end < 0:
+                raise ValueError("a bracket isn't closed")
+            out.append(pattern[at : end + 1].replace("\\", "\\\\"))
             at = end
         else:
-            out.append({"%": ".*", "_": ".", ".": "\\.", "^": "\\^", "$": "\\$"}.get(c, c))
+            out.append({"%": ".*", "_": ".", ".": "\\.", "^": "\\^", "$": "\\$", "\\": "\\\\"}.get(c, c))
         at += 1
-    return column.rlike(f"(?s)^(?:{''.join(out)})$")
+    return column.rlike(f"(?s)^(?:{''.join(out)})\\z")
 
 
 def regex_match(column: Column, pattern: str, ignore_case: bool = False, negate: bool = False) -> Column:

@@ -424,7 +424,7 @@ def unnest_list(spark, sf):
     return O.unnest(t(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("x")), "x")
 
 
-@query("SELECT vec_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS x FROM (SELECT vec_id, list_filter(embedding, v -> v > 0.3) AS x FROM embeddings)")
+@query("SELECT vec_id, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS x FROM (SELECT vec_id, list_filter(embedding, lambda v: v > 0.3) AS x FROM embeddings)")
 def unnest_list_empty(spark, sf):
     """Large components only: vectors without one keep a row."""
     large = F.filter("embedding", lambda v: v > F.lit(0.3))

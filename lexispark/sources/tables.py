@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import lzma
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,14 +32,16 @@ def read(spark: SparkSession, path: str | list[str], fmt: str, schema: StructTyp
 
     Without a schema it is inferred. merge_schema: files whose columns differ
     are read together, missing columns as null. Compressed CSV and JSON are
-    told by their endings; xz has no codec here.
+    told by their endings; files of xz are read whole, each by one task, since
+    they can't be split.
     """
     kind = FORMATS.get(fmt.lower())
     if kind is None:
         raise UnsupportedSource(f"no format {fmt!r}")
     paths = [path] if isinstance(path, str) else path
-    if any(p.endswith(".xz") for p in paths):
-        raise UnsupportedSource("no codec for xz")
+    packed = [p.endswith(".xz") for p in paths]
+    if any(packed) and not (all(packed) and kind in ("csv", "json", "text")):
+        raise UnsupportedSource("xz is read for CSV, JSON and text, not together with other files")
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if kind == "csv":
         reader = reader.option("header", str(header).lower()).option("sep", delimiter).option("inferSchema", str(schema is None).lower())
@@ -43,6 +49,9 @@ def read(spark: SparkSession, path: str | list[str], fmt: str, schema: StructTyp
         reader = reader.option("mergeSchema", str(merge_schema).lower())
     if schema is not None:
         reader = reader.schema(schema)
+    if any(packed):
+        lines = _xz_lines(spark, paths)
+        return lines if kind == "text" else (reader.csv if kind == "csv" else reader.json)(lines.rdd.map(lambda r: r.value))
     try:
         return reader.format(kind).load(paths)
     except Exception as error:
@@ -51,6 +60,19 @@ def read(spark: SparkSession, path: str | list[str], fmt: str, schema: StructTyp
         raise
 
 
+def _xz_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(value): the lines of files compressed with xz."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                text = io.TextIOWrapper(lzma.open(io.BytesIO(content.as_py())), "utf-8", newline="\n")
+                while lines := text.readlines(1 << 22):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\r\n") for x in lines], pa.string())], names=["value"])
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, "value string")
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of JSON lines {id, text} under a path, at any depth; texts in lower case."""
     rows = spark.read.option("recursiveFileLookup", "true").schema("id string, text string").json(path)
@@ -92,8 +114,6 @@ def create_external_table(spark: SparkSession, statement: str) -> DataFrame:
     name = m["name"].strip('`"')
     if m["missing"] and spark.catalog.tableExists(name):
         return spark.table(name)
-    if (m["codec"] or "").lower() == "xz":
-        raise UnsupportedSource("no codec for xz")
     columns = m["columns"]
     for pattern, kind in _TYPES if columns else ():
         columns = re.sub(pattern, kind, columns, flags=re.IGNORECASE)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import sys
+import time
+from collections import deque
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,6 +80,45 @@ def shell(engine: TextEngine, name: str, lines: Iterable[str], scored: bool = Fa
             yield f"{tag}\terror: {error}"
 
 
+def offline(engine: TextEngine, name: str, path: str, rounds: int = 1) -> dict[str, float]:
+    """Ask the queries of a text file, a line each, `rounds` times over: how many were asked, how many found anything, how many failed, and queries a second."""
+    lines = [r.value for r in engine.spark.read.text(path).collect() if r.value.strip()]
+    done = {"queries": 0, "found": 0, "errors": 0}
+    began = time.perf_counter()
+    for query in lines * rounds:
+        done["queries"] += 1
+        try:
+            done["found"] += not engine.boolean(name, query).isEmpty()
+        except QueryError:
+            done["errors"] += 1
+    return done | {"per_second": done["queries"] / max(1e-9, time.perf_counter() - began)}
+
+
+def concurrent(engine: TextEngine, name: str, lines: Iterable[str], workers: int = 32) -> Iterator[str]:
+    """Answers to lines `searches<TAB>query`, in their order: `query<TAB>count`. As many searches as the last line said run at once, `workers` at most.
+
+    They share the session's executors by Spark's fair scheduler where the session has it.
+    """
+
+    def ask(query: str) -> str:
+        try:
+            return f"{query}\t{engine.count_agg(name, query)}"
+        except QueryError as error:
+            return f"{query}\terror: {error}"
+
+    running: deque = deque()
+    with ThreadPoolExecutor(workers) as pool:
+        for line in lines:
+            hint, _, query = line.rstrip("\n").partition("\t")
+            if not query:
+                continue
+            while len(running) >= min(workers, max(1, int(hint))):
+                yield running.popleft().result()
+            running.append(pool.submit(ask, query))
+        while running:
+            yield running.popleft().result()
+
+
 def commands(index: SegmentedIndex, lines: Iterable[str]) -> Iterator[str]:
     """Answers to JSON lines {cmd, text, meta}: SEARCH, INSERT, DELETE, UPDATE, MERGE, SEGLEN; meta is a document's id."""
     for line in lines:
