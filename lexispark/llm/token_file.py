@@ -114,7 +114,9 @@ def write(docs: DataFrame, path: str, ids_of: Callable[[], Callable[[str | None]
     """Write the ids of every row of docs (doc_id, text) to `path` in ascending order of doc_id.
 
     ids_of() is called once a task and gives the function from text to ids, as the bytes of an array of `kind`.
-    Null ids come first; rows of equal id stay next to each other.
+    Null ids come first; rows of equal id stay next to each other, in the order they are read in. Null texts are
+    for ids_of to judge (word_ids takes them as empty). A text of any length is one document of one block, which
+    a task holds as a whole; an empty table gives files without blocks. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

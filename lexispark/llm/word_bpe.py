@@ -74,6 +74,10 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.words, self.marks = Cache(self._word, CACHE_WORDS), Cache(self._whole, CACHE_MARKS)
         self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        # blanks have to go without a trace, else words can't be encoded one by one
+        for text in ("a b", " a\tb\n ", "a  b"):
+            if [*self._whole(text.encode())] != [*self._whole(b"a"), *self._whole(b"b")]:
+                raise ValueError(f"{path} keeps blanks")
         # the short way is open only for the normaliser and splitter it was made for
         probe = "Éa'b c.d"
         self.short = [*self._whole(probe.encode())] == [*b"".join(self._whole(w) for w in ("éa".encode(), b"'", b"b", b"c", b".", b"d"))]

@@ -88,6 +88,13 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_vocabulary_that_keeps_blanks_is_refused():
+    from lexispark.llm.word_bpe import WordEncoder
+
+    with pytest.raises(ValueError, match="blanks"):
+        WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # op2
 
 
@@ -97,6 +104,17 @@ def reference_bpe():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_full_caches_change_nothing(monkeypatch):
+    """Caches that overflow all the time, and pieces beyond those that share prefixes."""
+    for name in ("CACHE_WORDS", "CACHE_PREFIXES", "CACHE_PAIRS"):
+        monkeypatch.setattr(byte_bpe, name, 7)
+    own, library = byte_bpe.Encoder(byte_bpe.Vocabulary.load(BYTES, public_tokenizers.PATTERN)), reference_bpe()
+    rng = random.Random(17)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("theinorastéß日") for _ in range(rng.choice((2, 5, 9, 70)))) for _ in range(12))
+        assert own.encode(text) == ",".join(map(str, library.encode_ordinary(text)))
+
+
 def test_byte_bpe_equals_tiktoken():
     own, library = byte_bpe.encoder(BYTES, public_tokenizers.PATTERN), reference_bpe()
     rng = random.Random(9)
@@ -623,12 +641,44 @@ def test_plan_uses_the_histogram_up(seed):
 
 
 def test_nnls():
+    """The conditions of a least squares solution with x >= 0: no slope where x is positive, none downhill where it is 0."""
     rng = np.random.default_rng(0)
-    a = rng.random((12, 40))
-    x = packing.nnls(a, a @ np.clip(rng.normal(0, 1, 40), 0, None))
-    assert (x >= 0).all()
-    slope = a.T @ (a @ x - a @ x)
-    assert np.abs(slope).max() < 1e-9
+    for wide, noise in ((40, 0.0), (40, 1.0), (6, 1.0)):
+        a = rng.random((12, wide))
+        b = a @ np.clip(rng.normal(0, 1, wide), 0, None) + noise * rng.normal(0, 1, 12)
+        x = packing.nnls(a, b)
+        slope = a.T @ (b - a @ x)
+        assert (x >= 0).all() and slope.max() < 1e-6 and np.abs(slope[x > 0]).max(initial=0) < 1e-6
+        if not noise:
+            assert np.linalg.norm(a @ x - b) < 1e-6
+
+
+def best_fit(sizes, length):
+    """Longest first, each into the sequence that it fills best: a plain packer."""
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fit = [r for r in rooms if r >= size]
+        if fit:
+            rooms.remove(min(fit))
+            rooms.append(min(fit) - size)
+        else:
+            rooms.append(length - size)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_against_a_plain_packer(seed):
+    rng = np.random.default_rng(100 + seed)
+    sizes = rng.integers(1, 4097, 600) if seed < 2 else np.clip(rng.lognormal(7.4, 0.6, 600).astype(int), 1, 4096)
+    found = sum(n for n, _ in packing.plan(dict(Counter(sizes.tolist()))))
+    assert found <= best_fit(sizes.tolist(), 4096) + 3
+
+
+def test_patterns_beat_best_fit():
+    """Lengths that best-fit alone pairs wrongly: fitted patterns need a tenth fewer sequences."""
+    histogram = {2112: 600, 1152: 600, 1088: 600, 896: 1200}
+    plain = best_fit([size for size, n in histogram.items() for _ in range(n)], 4096)
+    assert plain == 1100 and sum(n for n, _ in packing.plan(histogram)) <= 0.9 * plain
 
 
 def test_packing_of_odd_rows(spark):
