@@ -43,16 +43,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows of one key that a task may well take alone.
+ALONE = 10_000
+
+
 def spread(big: DataFrame, small: DataFrame, key: str | list[str], rows: str, total: int) -> DataFrame:
     """big joined with small, which has one row for each key (never null) and, in `rows`, how many of big's `total` rows have that key.
 
-    Keys that a thousandth of all rows have are looked up where the rows are: there are a thousand of them at most,
-    so they are broadcast, and no key's rows need to meet in one task.
+    Keys that a thousandth of all rows have (and ALONE at least) are looked up where the rows are: there are a
+    thousand of them at most, so they are broadcast, and no key's rows need to meet in one task. small is read twice.
     """
     names = [key] if isinstance(key, str) else key
-    often = F.col(rows) >= max(1000, total // 1000)
-    hot = F.broadcast(small.where(often))
-    return big.join(hot, names).unionByName(big.join(hot.select(*names), names, "left_anti").join(small.where(~often), names))
+    least = max(ALONE, total // 1000)
+    often = small.where(F.col(rows) >= least).collect() if total >= least else []
+    if not often:
+        return big.join(small, names)
+    hot = F.broadcast(big.sparkSession.createDataFrame(often, small.schema))
+    return big.join(hot, names).unionByName(big.join(hot.select(*names), names, "left_anti").join(small, names))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -152,7 +152,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     )
     bucket = F.xxhash64("mask", "key")
     keyed = keyed.select("print", bucket.alias("bucket"))
-    sized = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    sized = stored(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     chunks = F.ceil(F.col("n") / cell).cast("int")
     met = spread(keyed, sized, "bucket", "n", prints.count() * len(masks(radius))).select("print", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("print"), chunks).cast("int").alias("chunk"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))

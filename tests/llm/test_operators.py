@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexispark.llm import byte_bpe, chat, exact_dedup, language_id, packing, quality, simhash, token_file
+from lexispark.llm import byte_bpe, chat, common, exact_dedup, language_id, packing, quality, simhash, token_file
 from lexispark.llm.common import held_out
 from lexispark.llm.components import components
 from lexispark.llm.word_bpe import encoder
@@ -417,6 +417,16 @@ def test_links_of_dense_groups(spark):
         assert [found.get(s, s) for s in signed] == [min(signed[k] for k in range(len(prints)) if root[k] == r) for r in root]
 
 
+def test_frequent_keys_change_nothing(spark, monkeypatch):
+    """Joins of digests, fingerprints, components and nodes with keys that are looked up by broadcast."""
+    monkeypatch.setattr(common, "ALONE", 2)
+    test_dedup_against_plain_version(spark)
+    test_simhash_against_plain_version(spark)
+    edges = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(k, 100) for k in range(30, 40)] + [(200, 201), (201, 202)], "a bigint, b bigint")
+    found = {r.node: r.root for r in components(edges, "a", "b").collect()}
+    assert found == {k: 0 for k in [*range(40), 100]} | {200: 200, 201: 200, 202: 200}
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001), (5, 5)], "a bigint, b bigint")
     found = {r.node: r.root for r in components(edges, "a", "b").collect()}
