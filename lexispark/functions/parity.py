@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexispark.functions import blake3
+
 
 def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
@@ -178,17 +180,18 @@ def sha(s: Column, bits: int) -> Column:
 
 
 def digest(s: Column, algorithm: str) -> Column:
-    """Binary digest by md5, sha224, sha256, sha384, sha512, blake2s or blake2b (the last two in Python)."""
+    """Binary digest by md5, sha224, sha256, sha384, sha512, blake2s, blake2b or blake3 (the last three in Python)."""
     if algorithm == "md5":
         return F.unhex(F.md5(s))
     if algorithm.startswith("sha"):
         return sha(s, int(algorithm[3:]))
-    if algorithm not in ("blake2s", "blake2b"):
+    if algorithm not in ("blake2s", "blake2b", "blake3"):
         raise ValueError(f"no algorithm {algorithm!r}")
+    one = blake3.digest if algorithm == "blake3" else lambda data: hashlib.new(algorithm, data).digest()
 
     @F.pandas_udf("binary")
     def blake(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else hashlib.new(algorithm, v.encode() if isinstance(v, str) else bytes(v)).digest())
+        return values.map(lambda v: None if v is None else one(v.encode() if isinstance(v, str) else bytes(v)))
 
     return blake(s)
 

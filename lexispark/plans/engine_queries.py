@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from lexispark.operators import extension
 from lexispark.operators import frame as O
 from lexispark.plans.indexes import store
 from lexispark.shared import scratch
-from lexispark.sources import custom
+from lexispark.sources import avro, custom
 from lexispark.sources import tables as S
 from lexispark.sources.tables import table as t
 from lexispark.streaming import ingest
@@ -199,19 +200,34 @@ def src_custom_scan(spark, sf):
     return first.union(spark.sql("SELECT count(*) AS square FROM own_powers"))
 
 
+def _put(spark, path: str, data: bytes) -> None:
+    """A file in any store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def src_xz(spark, sf):
     """CSV compressed with xz."""
     import lzma
 
-    path = scratch(spark, "xz")
+    path = f"{scratch(spark, 'xz')}/nation.csv.xz"
     rows = t(spark, sf, "nation").select("n_nationkey", "n_name")
-    data = lzma.compress(("n_nationkey,n_name\n" + "".join(f"{r[0]},{r[1]}\n" for r in rows.collect())).encode())
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/nation.csv.xz")
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(data))
-    out.close()
-    return S.read(spark, f"{path}/nation.csv.xz", "csv", rows.schema)
+    _put(spark, path, lzma.compress(("n_nationkey,n_name\n" + "".join(f"{r[0]},{r[1]}\n" for r in rows.collect())).encode()))
+    return S.read(spark, path, "csv", rows.schema)
+
+
+@query("SELECT n_nationkey, nullif(n_name, 'FRANCE') AS n_name, CAST(n_regionkey AS DOUBLE) / 4 AS x, true AS flag, TIMESTAMP '2024-02-03 04:05:06.000007' AS at, DATE '1969-12-30' AS day FROM nation")
+def src_avro(spark, sf):
+    """An Avro file of the 25 nations, with a null and logical types."""
+    path = f"{scratch(spark, 'avro')}/nation.avro"
+    at, day = dt.datetime(2024, 2, 3, 4, 5, 6, 7, tzinfo=dt.UTC), dt.date(1969, 12, 30)
+    rows = [(r.n_nationkey, None if r.n_name == "FRANCE" else r.n_name, r.n_regionkey / 4, True, at, day) for r in t(spark, sf, "nation").collect()]
+    kinds = ["int", "string", "double", "boolean", {"type": "long", "logicalType": "timestamp-micros"}, {"type": "int", "logicalType": "date"}]
+    _put(spark, path, avro.container(list(zip(["n_nationkey", "n_name", "x", "flag", "at", "day"], kinds)), rows, block_rows=10))
+    return S.read(spark, path, "avro").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 # functions of one's own

@@ -52,12 +52,11 @@ def read(spark: SparkSession, path: str | list[str], fmt: str, schema: StructTyp
     if any(packed):
         lines = _xz_lines(spark, paths)
         return lines if kind == "text" else (reader.csv if kind == "csv" else reader.json)(lines.rdd.map(lambda r: r.value))
-    try:
-        return reader.format(kind).load(paths)
-    except Exception as error:
-        if kind == "avro" and "avro" in str(error).lower():
-            raise UnsupportedSource("Avro needs the spark-avro package on the class path") from error
-        raise
+    if kind == "avro":
+        from lexispark.sources import avro
+
+        return avro.read(spark, paths, schema)
+    return reader.format(kind).load(paths)
 
 
 def _xz_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -82,8 +81,8 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 def write(df: DataFrame, path: str, fmt: str, *, partition_by: list[str] = (), mode: str = "errorifexists", header: bool = True, sort: list[str] = ()) -> None:
     """A directory of files, one or more a task."""
     kind = FORMATS.get(fmt.lower())
-    if kind is None:
-        raise UnsupportedSource(f"no format {fmt!r}")
+    if kind in (None, "avro"):
+        raise UnsupportedSource(f"no sink for {fmt!r}")
     if sort:
         df = df.sortWithinPartitions(*[order(c) for c in sort])
     out = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
