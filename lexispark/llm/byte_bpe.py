@@ -40,6 +40,8 @@ CACHE_PAIRS = 400_000
 #: Longer pieces of the pattern have a table of their own instead of sharing prefixes with others.
 SHARED_BYTES = 48
 _NONE = 1 << 62
+#: Lengths of tokens where none of three bytes or more ends alike.
+_SHORT = (2, 1)
 
 
 class Vocabulary:
@@ -53,15 +55,24 @@ class Vocabulary:
         #: tokens that merging can make; only they occur beside others
         self.made = {t: i for t, i in ranks.items() if len(t) == 1 or self._split(i) is not None}
         self.longest = max(map(len, self.made))
+        #: by three bytes: the lengths of the tokens that end in them, longest first
+        self.lengths = self._lengths()
         self.agree: dict[int, bool] = {}  # by pair, as one number
-        #: of each prefix met of short pieces: its last token, and all its tokens as decimal numbers joined by commas
-        self.known: dict[bytes, tuple[int, str]] = {}
+        #: of each prefix met of short pieces: its last token
+        self.known: dict[bytes, int] = {}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}, pattern)
 
+    def _lengths(self) -> dict[bytes, tuple[int, ...]]:
+        found: dict[bytes, set[int]] = {}
+        for token in self.made:
+            if len(token) > 2:
+                found.setdefault(token[-3:], {1, 2}).add(len(token))
+        return {end: tuple(sorted(sizes, reverse=True)) for end, sizes in found.items()}
+
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes and for tokens no merge makes."""
         if token not in self.parts:
@@ -113,7 +124,10 @@ class Vocabulary:
     def last_token(self, data: bytes, end: int, last: Callable[[int], int]) -> int:
         """The one valid last token of data[:end]; last(k) is that of data[:k], 0 < k < end."""
         made, agree = self.made, self.agree
-        for begin in range(max(0, end - self.longest), end):  # longest first: it mostly is the one
+        for size in self.lengths.get(data[max(0, end - 3) : end], _SHORT):  # longest first: it mostly is the one
+            begin = end - size
+            if begin < 0:
+                continue
             token = made.get(data[begin:end])
             if token is None:
                 continue
@@ -127,27 +141,43 @@ class Vocabulary:
 
     def encode_piece(self, data: bytes) -> str:
         """Ids of one match of the pattern, as decimal numbers joined by commas."""
-        known = self.known.get(data)
-        return known[1] if known is not None else self._encode(data)
-
-    def _encode(self, data: bytes) -> str:
         whole = self.ranks.get(data)
         if whole is not None:
             return str(whole)
         if len(data) > SHARED_BYTES:
             return ",".join(map(str, Prefixes(self, data).ids()))
         known = self.known
+        if data not in known:
+            self._learn(data)
+        out, end, tokens = "", len(data), self.tokens
+        while end:
+            token = known[data[:end]]
+            out = f"{token},{out}" if out else str(token)
+            end -= len(tokens[token])
+        return out
+
+    def _learn(self, data: bytes) -> None:
+        """The last tokens of all prefixes of a short piece; those that another piece shares are known."""
+        known, made, agree, lengths = self.known, self.made, self.agree, self.lengths
         if len(known) >= CACHE_PREFIXES:
             known.clear()
-        last = lambda k: known[data[:k]][0]
         have = len(data) - 1
         while have and data[:have] not in known:
             have -= 1
         for end in range(have + 1, len(data) + 1):
-            token = self.last_token(data, end, last)
-            begin = end - len(self.tokens[token])
-            known[data[:end]] = (token, f"{known[data[:begin]][1]},{token}" if begin else str(token))
-        return known[data][1]
+            prefix = data[:end]
+            last = made.get(prefix)
+            if last is None:
+                for size in lengths.get(prefix[-3:], _SHORT):
+                    if size < end and (token := made.get(prefix[-size:])) is not None:
+                        before = known[prefix[:-size]]
+                        fits = agree.get(before << 32 | token)
+                        if fits or fits is None and self.compatible(before, token):
+                            last = token
+                            break
+                else:
+                    raise ValueError("a byte is missing from the vocabulary")
+            known[prefix] = last
 
 
 class Prefixes:
