@@ -15,8 +15,7 @@ mask: every pair within the radius meets in one of 2^(RADIUS+1) - 1 tables.
 Within a bucket no pairs are listed. A bucket's fingerprints are linked by a
 spanning forest: fingerprints near a pivot join it, and only clusters that are
 still apart and close enough are compared, so a bucket of m gives fewer than m
-rows. A bucket of more than `CELL` fingerprints is cut into chunks, and each
-pair of chunks is a cell of its own, in whatever task.
+rows. A bucket of more than `CELL` fingerprints is cut into chunks (`links`).
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import columns, each, fresh, lean, partitions, spread, stored, table
@@ -144,24 +143,56 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _linked(cells: DataFrame, n: int) -> DataFrame:
+    """(a, b) of the forests of cells (cell, print)."""
+    return cells.select("cell", "print").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lean(_edges, "links"), "a bigint, b bigint").distinct()
+
+
 def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """(a, b): edges between different fingerprints (column print, long) that span the components of links."""
+    """(a, b): edges between different fingerprints (column print, long) that span the components of links.
+
+    Buckets of more than `cell` fingerprints are cut into chunks, which are
+    linked each by itself first. In a bucket of near copies that makes one
+    component of most of them, and what is in one component needs no more
+    comparing: only the others are held against it, and against each other.
+    """
+    n, total = partitions(prints), prints.count() * len(masks(radius))
     keyed = prints.select(
         "print",
         F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])).alias("mask", "key"),
     )
-    bucket = F.xxhash64("mask", "key")
-    keyed = keyed.select("print", bucket.alias("bucket"))
+    keyed = keyed.select("print", F.xxhash64("mask", "key").alias("bucket"))
     sized = stored(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
-    chunks = F.ceil(F.col("n") / cell).cast("int")
-    met = spread(keyed, sized, "bucket", "n", prints.count() * len(masks(radius))).select("print", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("print"), chunks).cast("int").alias("chunk"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = met.select("print", "bucket", "chunk", other.alias("other")).select(
-        F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"), "print"
-    )
-    return (
-        cells.repartition(partitions(prints), "cell").sortWithinPartitions("cell").mapInArrow(lean(_edges, "links"), "a bigint, b bigint").distinct()
+
+    def chunk(size: Column) -> Column:
+        return F.pmod(F.xxhash64("print"), F.ceil(size / cell)).cast("int")
+
+    met = spread(keyed, sized, "bucket", "n", total).select("print", F.xxhash64("bucket", chunk(F.col("n"))).alias("cell"))
+    edges = stored(_linked(met, n), "simhash-links")
+    large = sized.where(F.col("n") > cell)
+    if large.isEmpty():
+        return edges
+    root = components(edges, "a", "b").withColumnRenamed("node", "print")
+    crowded = spread(keyed, large, "bucket", "n", total).drop("n").join(root, "print", "left")
+    crowded = stored(crowded.withColumn("root", F.coalesce("root", "print")), "simhash-crowded")
+    sizes = crowded.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    # the largest component of each bucket, and how many fingerprints aren't in it
+    heads = sizes.groupBy("bucket").agg(F.max_by("root", "k").alias("head"), F.max("k").alias("most"), F.sum("k").alias("n")).where("n > most")
+    placed = spread(crowded, stored(heads, "simhash-heads"), "bucket", "n", crowded.count())
+    rest = F.col("n") - F.col("most")
+    placed = placed.select("print", "bucket", (F.col("root") == F.col("head")).alias("inside"), "most", rest.alias("rest"))
+
+    def pairs(size: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / cell).cast("int") - 1)).alias("other")
+
+    inner = placed.where("inside").select("print", "bucket", chunk(F.col("most")).alias("own"), pairs("rest"))
+    outer = placed.where("not inside").select("print", "bucket", chunk(F.col("rest")).alias("own"), "most", "rest")
+    across = inner.unionByName(outer.select("print", "bucket", F.col("own").alias("other"), pairs("most").alias("own")))
+    among = outer.select("print", "bucket", "own", pairs("rest"))
+    cells = across.select(F.xxhash64("bucket", F.lit(0), "own", "other").alias("cell"), "print").unionByName(
+        among.select(F.xxhash64("bucket", F.lit(1), F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "print")
     )
+    return edges.unionByName(_linked(cells, n)).distinct()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
