@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,3 +93,44 @@ def aggregate(df: DataFrame, keys: list[str], inputs: list[str], make: Callable[
         return pa.table({**columns, name: pa.array([acc.evaluate()])})
 
     return used.mapInPandas(partial, state).groupBy(*keys).applyInArrow(merged, out)
+
+
+class Quantile(Accumulator):
+    """An approximate quantile of values with weights of any positive size, from clusters of neighbours: small ones at both ends, `size` or so in all.
+
+    Null values and weights, and weights that aren't positive, take no part; without any other the quantile is null.
+    """
+
+    def __init__(self, q: float, size: int = 200):
+        self.q, self.size = q, size
+        self.mean, self.weight = np.zeros(0), np.zeros(0)
+
+    def _add(self, mean: np.ndarray, weight: np.ndarray) -> None:
+        mean, weight = np.concatenate([self.mean, mean]), np.concatenate([self.weight, weight])
+        order = np.argsort(mean, kind="stable")
+        mean, weight = mean[order], weight[order]
+        if len(mean) > 4 * self.size:
+            # clusters are alike in the angle whose sine runs from -1 to 1 with the rank
+            rank = (np.cumsum(weight) - weight / 2) / weight.sum()
+            cluster = np.floor(self.size * np.arcsin(2 * rank - 1) / np.pi)
+            first = np.flatnonzero(np.diff(cluster, prepend=-np.inf))
+            total = np.add.reduceat(weight, first)
+            mean, weight = np.add.reduceat(mean * weight, first) / total, total
+        self.mean, self.weight = mean, weight
+
+    def update(self, values: pd.Series, weights: pd.Series) -> None:
+        x, w = values.to_numpy(np.float64, na_value=np.nan), weights.to_numpy(np.float64, na_value=np.nan)
+        there = ~np.isnan(x) & (w > 0)
+        self._add(x[there], w[there])
+
+    def state(self):
+        return self.mean.tolist(), self.weight.tolist()
+
+    def merge(self, state) -> None:
+        self._add(np.array(state[0]), np.array(state[1]))
+
+    def evaluate(self):
+        if not len(self.mean):
+            return None
+        rank = (np.cumsum(self.weight) - self.weight / 2) / self.weight.sum()
+        return float(np.interp(self.q, rank, self.mean))

@@ -300,6 +300,23 @@ def agg_approximate_near(spark, sf):
     )
 
 
+@query("SELECT l_returnflag, true AS near FROM lineitem GROUP BY ALL")
+def agg_weighted_quantile(spark, sf):
+    """The approximate 0.7 quantile of prices, each weighing as its discount and tax say; its rank among the weights is within 1 % of that."""
+    lines = t(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"), (F.col("l_discount") + F.col("l_tax") + 0.001).alias("w"))
+    found = udfs.aggregate(lines, ["l_returnflag"], ["x", "w"], lambda: udfs.Quantile(0.7), "about", "double")
+    below = lines.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag").agg((F.sum(F.when(F.col("x") <= F.col("about"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("rank"))
+    return below.select("l_returnflag", F.col("rank").between(0.69, 0.71).alias("near"))
+
+
+@query("SELECT count(*) AS n, true AS qualified FROM orders")
+def src_store_uri(spark, sf):
+    """A table by the full URI of its store, whatever file system that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/orders.parquet")
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return S.read(spark, uri, "parquet").agg(F.count("*").alias("n"), F.lit(":/" in uri).alias("qualified"))
+
+
 _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 _DIGESTS = ["md5", "sha224", "sha384", "sha512", "blake2s", "blake2b"]
 

@@ -6,6 +6,7 @@ import decimal
 import importlib
 import sys
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,23 @@ def test_states_of_many_tasks_merge(spark, monkeypatch):
     assert udfs.aggregate(df.limit(0), ["k"], ["x"], Rms, "out", "double").count() == 0
 
 
+def test_quantiles_of_weighted_values():
+    rng = np.random.default_rng(1)
+    x, w = rng.lognormal(0, 2, 50_000), rng.random(50_000) ** 4
+    parts = [udfs.Quantile(0.9) for _ in range(5)]
+    for k, part in enumerate(parts):
+        for at in range(k * 10_000, (k + 1) * 10_000, 2500):
+            part.update(pd.Series(x[at : at + 2500]), pd.Series(w[at : at + 2500]))
+    whole = udfs.Quantile(0.9)
+    for part in parts:
+        whole.merge(part.state())
+        assert len(part.state()[0]) <= 800
+    assert w[x <= whole.evaluate()].sum() / w.sum() == pytest.approx(0.9, abs=0.005)
+    few = udfs.Quantile(0.5)
+    few.update(pd.Series([1.0, None, 3.0, 9.0]), pd.Series([1.0, 5.0, 1.0, -2.0]))
+    assert few.evaluate() == 2.0 and udfs.Quantile(0.5).evaluate() is None
+
+
 def test_volatility_is_named(spark):
     with pytest.raises(ValueError):
         udfs.scalar(lambda x: x, "int", "sometimes")
