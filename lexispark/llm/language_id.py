@@ -46,8 +46,9 @@ LANGUAGES = 128
 DEALT = 1 << 40
 #: The filter rejects a text whose best language has less posterior probability than this,
 MIN_SCORE = 0.5
-#: or needs more nats a symbol than this, over a text of at least so many symbols: letters at random need about 5, a language's own texts about 2.
-MAX_NATS, MIN_SYMBOLS = 4.0, 40
+#: or needs more nats a symbol than this, over a text of at least so many symbols. On the test tables a language's own
+#: texts need about 1.5, short ones with keys or addresses up to 4, letters at random and languages not learned 7 or more.
+MAX_NATS, MIN_SYMBOLS = 5.5, 40
 #: Bytes coded at once, and grams that a task counts at once in learning.
 STEP, COUNTED = 1 << 16, 1 << 21
 
