@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from lexispark.plans import catalog
 
-HEADLINE = """text_saved_index text_scan text_scan_scored text_workload_mixed text_nested text_scored text_prefix_mix text_not text_term_stats text_block_search text_bitmap_and rel_project_filter join_inner_residual join_left_semi agg_basic agg_cube
+HEADLINE = """text_block_stats text_scan text_scan_scored text_workload_mixed text_nested text_scored text_prefix_mix text_not text_term_stats text_block_search text_bitmap_and rel_project_filter join_inner_residual join_left_semi agg_basic agg_cube
 agg_statistics win_rank win_rows win_groups set_intersect_all sort_limit_offset fn_string fn_date tpch_q1 tpch_q3 tpch_q5 tpch_q6 tpch_q7 tpch_q8 tpch_q10 tpch_q14 tpch_q15 tpch_q18 events_tumbling events_sessions""".split()
 
 
