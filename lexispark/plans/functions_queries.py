@@ -76,12 +76,6 @@ def fn_crypto(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.md5(name).alias("f_md5"), F.lower(F.hex(P.digest(name, "sha256"))).alias("f_sha256"))
 
 
-@query(None)
-def fn_crypto_more(spark, sf):
-    name = F.col("p_name")
-    return t(spark, sf, "part").select("p_partkey", *[F.lower(F.hex(P.digest(name, a))).alias(a) for a in ("md5", "sha224", "sha384", "sha512", "blake2s", "blake2b")])
-
-
 @query("""
 SELECT event_id, CAST(year(ts) AS DOUBLE) AS d_year, CAST(quarter(ts) AS DOUBLE) AS d_quarter, CAST(month(ts) AS DOUBLE) AS d_month, CAST(week(ts) AS DOUBLE) AS d_week, CAST(day(ts) AS DOUBLE) AS d_day, CAST(dayofyear(ts) AS DOUBLE) AS d_doy, CAST(dayofweek(ts) AS DOUBLE) AS d_dow,
   CAST(hour(ts) AS DOUBLE) AS d_hour, CAST(minute(ts) AS DOUBLE) AS d_minute, microsecond(ts) / 1e6 AS d_second, microsecond(ts) / 1e3 AS d_millisecond, CAST(microsecond(ts) AS DOUBLE) AS d_microsecond,
@@ -117,11 +111,6 @@ def fn_array_struct(spark, sf):
     return df.select("n_nationkey", "arr", "s.c0", "s.c1", "kind")
 
 
-@query(None)
-def fn_volatile(spark, sf):
-    return t(spark, sf, "region").select("r_regionkey", F.rand().between(0, 1).alias("r"), F.length(F.uuid()).alias("u"), F.now().isNotNull().alias("n"), F.current_date().isNotNull().alias("d"), P.current_time().alias("t"))
-
-
 @query("SELECT c_custkey, c_acctbal * 1.1 AS up FROM customer")
 def udf_scalar(spark, sf):
     @F.pandas_udf("double")

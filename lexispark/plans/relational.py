@@ -240,14 +240,6 @@ def agg_percentile(spark, sf):
     return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", 0.9), 6).alias("p90"))
 
 
-@query(None)
-def agg_approximate(spark, sf):
-    q = F.col("l_quantity")
-    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_orderkey").alias("about_orders"), F.percentile_approx(q, 0.5).alias("about_median"), F.percentile_approx(q, 0.9, 1000).alias("about_p90"), F.percentile(q, 0.5, F.col("l_linenumber")).alias("weighted")
-    )
-
-
 @query("SELECT r_regionkey, list(n_name ORDER BY n_nationkey) AS names FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey > 3 GROUP BY ALL")
 def agg_array_keeps_nulls(spark, sf):
     r, n = t(spark, sf, "region"), t(spark, sf, "nation").where("n_nationkey > 3")
