@@ -256,6 +256,7 @@ def _compare(batches: Iterator[pa.RecordBatch], window: int, again: int, most: i
     """Rows come ordered by bucket, hot anchors before windows. again: buckets for windows of hot anchors and of a bucket that grows too large (0: keep all)."""
     at_bucket, parts, held, spilled = None, [], 0, False
     hot: list[int] = []
+    spread: list[tuple] = []  # windows of hot anchors
 
     def columns_of(blobs: list[tuple]) -> tuple:
         sizes = np.cumsum([0, *(len(p[0]) for p in blobs)])
@@ -273,27 +274,36 @@ def _compare(batches: Iterator[pa.RecordBatch], window: int, again: int, most: i
         if spilled or not last:
             yield from _dealt(BY_WINDOW, anchor[first], whole[first], doc[first], place[first], ids, hashes, again)
 
+    def dealt_anew() -> Iterator[pa.RecordBatch]:
+        if spread:
+            ids, hashes, anchor, whole, doc, place = columns_of(spread)
+            yield from _dealt(BY_WINDOW, anchor, whole, doc, place, ids, hashes, again)
+            spread.clear()
+
     for batch in batches:
         for kind, bucket, blob, name in zip(*map(each, batch.columns[:4]), strict=True):
             if bucket != at_bucket:
                 yield from flush(True)
+                yield from dealt_anew()
                 at_bucket, parts, held, spilled, hot = bucket, [], 0, False, []
             if kind == HOT:
                 hot.append(name)
                 continue
             part = _unblob(blob)
             if hot:
-                spread = np.isin(part[3], np.array(hot, np.int64).view(np.uint64))
-                if spread.any():
-                    ids, hashes, *rest = columns_of([part])
-                    yield from _dealt(BY_WINDOW, *(x[spread] for x in rest), ids, hashes, again)
-                    part = (*part[:3], *(x[~spread] for x in part[3:]))
+                own = np.isin(part[3], np.array(hot, np.int64).view(np.uint64))
+                if own.any():
+                    spread.append((*part[:3], *(x[own] for x in part[3:])))
+                    part = (*part[:3], *(x[~own] for x in part[3:]))
+                    if len(spread) >= 256:
+                        yield from dealt_anew()
             parts.append(part)
             held += len(part[3])
             if again and held >= most:
                 yield from flush(False)
                 parts, held, spilled = [], 0, True
     yield from flush(True)
+    yield from dealt_anew()
 
 
 def _gathered(spans: DataFrame) -> DataFrame:
