@@ -286,14 +286,27 @@ def ext_best(spark, sf):
 # approximate and volatile functions, digests
 
 
+def _keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with its flag under another name."""
+    return df.withColumnRenamed("l_returnflag", name)
+
+
 @query("SELECT l_returnflag, true AS orders_near, true AS median_near, true AS p90_near, true AS weighted_near FROM lineitem GROUP BY ALL")
 def agg_approximate(spark, sf):
-    """Sketches beside exact values: distinct counts within 15 %, quantiles within 1 % of the ranks."""
-    q = F.col("l_quantity")
-    found = t(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_orderkey").alias("about"), F.count_distinct("l_orderkey").alias("orders"), F.percentile_approx(q, 0.5, 1000).alias("median"), F.percentile_approx(q, 0.9, 1000).alias("p90"),
-        *[F.percentile(q, p).alias(f"e{round(100 * p)}") for p in (0.49, 0.51, 0.89, 0.91)], F.percentile(q, 0.5, F.lit(3)).alias("weighted"), F.percentile(q, 0.5).alias("e50"),
+    """Sketches beside exact values: distinct counts within 15 %, quantiles within 1 % of the ranks.
+
+    Sketches are one for each flag and task. Beside a distinct count in one aggregate they would be one for
+    each flag and order, so exact values are aggregates of their own: of different orders, and of quantities by
+    how often they occur.
+    """
+    lines, q = t(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity"), F.col("l_quantity")
+    sketched = lines.groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey").alias("about"), F.percentile_approx(q, 0.5, 1000).alias("median"), F.percentile_approx(q, 0.9, 1000).alias("p90"))
+    counted = lines.groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("orders"))
+    often = lines.groupBy("l_returnflag", q).agg(F.count("*").alias("n"))
+    ranked = often.groupBy("l_returnflag").agg(
+        *[F.percentile(q, p, F.col("n")).alias(f"e{round(100 * p)}") for p in (0.49, 0.5, 0.51, 0.89, 0.91)], F.percentile(q, 0.5, 3 * F.col("n")).alias("weighted")
     )
+    found = O.null_safe_join(O.null_safe_join(sketched, _keyed(counted, "flag2"), [("l_returnflag", "flag2")]), _keyed(ranked, "flag3"), [("l_returnflag", "flag3")])
     return found.select(
         "l_returnflag", (F.abs(F.col("about") - F.col("orders")) <= 0.15 * F.col("orders")).alias("orders_near"), F.col("median").between(F.floor("e49"), F.ceil("e51")).alias("median_near"),
         F.col("p90").between(F.floor("e89"), F.ceil("e91")).alias("p90_near"), (F.abs(F.col("weighted") - F.col("e50")) <= 1).alias("weighted_near"),

@@ -58,3 +58,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sketches_are_one_a_flag_and_task(spark):
+    """No aggregate with a sketch is grouped by what is counted distinctly: its states would be as many as the orders."""
+    plan = catalog.queries()["agg_approximate"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    sketched = [line for line in plan.splitlines() if "percentile" in line and "Aggregate" in line]
+    assert sketched and not any("l_orderkey" in line.split("functions=")[0] for line in sketched)
