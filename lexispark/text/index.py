@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.shared import partitions, stored
-from lexispark.text.tokenize import postings
+from lexispark.shared import partitions, spread, stored
+from lexispark.text.tokenize import MAX_TF, terms
 
 BLOCK = 512
 
@@ -39,17 +39,42 @@ def with_ordinals(docs: DataFrame, doc_id: str = "doc_id", first: int = 0) -> Da
     return docs.join(ords, docs[doc_id] == ords["doc_id"]).select(docs["*"], "doc_ord")
 
 
+def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first: int = 0, ords: DataFrame | None = None) -> DataFrame:
+    """(doc_id, doc_ord, term, tf): the postings of a corpus with their documents' ordinals; a null id has no ordinal.
+
+    Texts move once, by document, and meet their ordinals there; they are then
+    cut and counted where they are, so no posting is shuffled.
+    """
+    ords = ordinals(docs, doc_id, first) if ords is None else ords
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartition(spread(docs), "doc_id")
+    met = texts.join(ords.select("doc_id", "doc_ord").hint("shuffle_hash"), "doc_id", "left")
+    counted = met.select("doc_id", "doc_ord", F.explode(terms(F.col("text"))).alias("term"))
+    found = counted.groupBy("doc_id", "doc_ord", "term").agg(F.count("*").alias("tf"))
+    return found.select("doc_id", "doc_ord", "term", F.least("tf", F.lit(MAX_TF)).cast("smallint").alias("tf"))
+
+
 def blocks(flat: DataFrame) -> DataFrame:
-    """(term, block, offs, tfs) of postings (doc_ord, term, tf); offsets ascend."""
-    placed = flat.select("term", F.expr(f"doc_ord div {BLOCK}").cast("int").alias("block"), F.expr(f"doc_ord % {BLOCK}").cast("smallint").alias("off"), "tf")
-    held = placed.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("off", "tf"))).alias("entries"))
-    return held.select("term", "block", F.col("entries.off").alias("offs"), F.col("entries.tf").alias("tfs"))
+    """(term, block, offs, tfs) of postings (doc_ord, term, tf), and doc_ids where they have a doc_id; offsets ascend."""
+    return folded(entries(flat))
+
+
+def entries(flat: DataFrame) -> DataFrame:
+    """(term, block, off, tf) of postings (doc_ord, term, tf), and their doc_id if they have one."""
+    block, off = F.expr(f"doc_ord div {BLOCK}").cast("int"), F.expr(f"doc_ord % {BLOCK}").cast("smallint")
+    return flat.select("term", block.alias("block"), off.alias("off"), "tf", *[c for c in ("doc_id",) if c in flat.columns])
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """The blocks of entries; nothing moves if those of a term and block are in one partition."""
+    more = [c for c in ("doc_id",) if c in rows.columns]
+    held = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("off", "tf", *more))).alias("entries"))
+    return held.select("term", "block", F.col("entries.off").alias("offs"), F.col("entries.tf").alias("tfs"), *[F.col(f"entries.{c}").alias(f"{c}s") for c in more])
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first: int = 0) -> DataFrame:
-    """The block index of a corpus. Texts are cut to terms where they are; (doc_id, term, tf) meet their ordinals."""
-    found = postings(docs, doc_id, text).join(ordinals(docs, doc_id, first), "doc_id")
-    return blocks(found.select("doc_ord", "term", "tf"))
+    """The block index of a corpus. Texts are cut to terms where they are; a block's postings meet in one shuffle, in tasks of bounded size."""
+    found = placed(docs, doc_id, text, first).where("doc_ord is not null")
+    return folded(entries(found.drop("doc_id")).repartition(spread(docs), "term", "block"))
 
 
 def flat(index: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """A text index that is kept: tables sorted by term, so that a search reads the row groups of its terms alone.
 
-    postings    doc_id, term, tf
-    blocks      term, block, offs, tfs: the same by blocks of documents
+    blocks      term, block, offs, tfs, doc_ids: postings by blocks of documents
     docs        doc_id, doc_ord
     stats       term, nums, n_blocks, selectivity
-    bitmaps     term, bucket, bits
+
+Postings (doc_id, term, tf) and bitmaps (term, bucket, bits) are views of the
+blocks: a filter by term reaches the scan, so only the blocks of the terms
+asked for are unfolded. A bitmap takes 4 KB however few documents have its
+term, so those of all terms are not kept.
 
 Each table is written once, when it is first asked for, and is there once its
 folder is complete; `load` finds what an earlier session has saved.
@@ -15,17 +18,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.shared import partitions, remove
+from lexispark.shared import partitions, remove, stored
 from lexispark.text import index as indexing
-from lexispark.text.tokenize import postings
 
 TABLES = {
-    "postings": "doc_id bigint, term string, tf smallint",
-    "blocks": "term string, block int, offs array<smallint>, tfs array<smallint>",
+    "blocks": "term string, block int, offs array<smallint>, tfs array<smallint>, doc_ids array<bigint>",
     "docs": "doc_id bigint, doc_ord bigint",
     "stats": "term string, nums bigint, n_blocks bigint, selectivity double",
-    "bitmaps": "term string, bucket bigint, bits binary",
 }
+#: Postings that a task sorts and folds to blocks.
+ROWS = 1_000_000
 #: Rows of a row group's column chunk, in bytes: small enough that a term's postings are a few of many.
 ROW_GROUP = 4 << 20
 
@@ -56,34 +58,42 @@ class IndexStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def _write(self, name: str, df: DataFrame, *by: str) -> None:
-        n = partitions(self.corpus if self.corpus is not None else df)
-        ordered = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    def _write(self, name: str, df: DataFrame, n: int, *by: str, then=lambda ranged: ranged) -> None:
+        ordered = then(df.repartitionByRange(n, *by)).sortWithinPartitions(*by)
         ordered.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}")
 
     def _make(self, name: str) -> None:
-        if self.corpus is None and name in ("postings", "docs"):
+        if self.corpus is None and name in ("blocks", "docs"):
             raise FileNotFoundError(f"no {name} at {self.path}")
-        if name == "postings":
-            self._write(name, postings(self.corpus), "term", "doc_id")
-        elif name == "docs":
+        if name == "docs":
             indexing.ordinals(self.corpus).write.mode("overwrite").parquet(f"{self.path}/docs")
         elif name == "blocks":
-            placed = self.table("postings").join(self.table("docs"), "doc_id").select("doc_ord", "term", "tf")
-            self._write(name, indexing.blocks(placed), "term", "block")
-        elif name == "stats":
-            self._write(name, indexing.term_stats(self.table("blocks")), "term")
+            # ranges are cut by sampling: texts are cut to terms once, before that
+            found = stored(indexing.placed(self.corpus, ords=self.docs), "postings")
+            n = max(partitions(self.corpus), found.count() // ROWS + 1)
+            self._write(name, indexing.entries(found), n, "term", "block", then=indexing.folded)
         else:
-            self._write(name, indexing.bitmaps(self.table("blocks")), "term", "bucket")
+            blocks = self.blocks
+            self._write(name, indexing.term_stats(blocks), partitions(blocks), "term")
 
     def table(self, name: str) -> DataFrame:
+        if name == "postings":
+            return self.postings
+        if name == "bitmaps":
+            return self.bitmaps
+        found = self._kept(name)
+        # of documents with a null id there are postings only
+        return found.where("block is not null").drop("doc_ids") if name == "blocks" else found
+
+    def _kept(self, name: str) -> DataFrame:
         if not self._there(name):
             self._make(name)
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
     @property
     def postings(self) -> DataFrame:
-        return self.table("postings")
+        entry = F.explode(F.arrays_zip("doc_ids", "tfs")).alias("e")
+        return self._kept("blocks").select("term", entry).select(F.col("e.doc_ids").alias("doc_id"), "term", F.col("e.tfs").alias("tf"))
 
     @property
     def blocks(self) -> DataFrame:
@@ -99,7 +109,7 @@ class IndexStore:
 
     @property
     def bitmaps(self) -> DataFrame:
-        return self.table("bitmaps")
+        return indexing.bitmaps(self.blocks)
 
     def terms(self, low: str, high: str) -> DataFrame:
         """The postings of terms from low to high, both included."""

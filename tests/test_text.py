@@ -4,11 +4,13 @@ import random
 
 import pytest
 
+from lexispark.shared import spread
 from lexispark.text import index as indexing
 from lexispark.text import search as searching
 from lexispark.text.engine import TextEngine, commands, shell
 from lexispark.text.query import And, Not, Or, QueryError, Term, must, must_not, normalise, parse, parse_infix, parse_prefix, should, xor
 from lexispark.text.segments import MergePolicy, SegmentedIndex
+from lexispark.text.store import IndexStore
 from lexispark.text.tokenize import postings
 
 WORDS = ["ash", "birch", "cedar", "elm", "fir", "ñandú"]
@@ -207,3 +209,40 @@ def test_engine_and_shells(spark, corpus, tmp_path):
     index = SegmentedIndex(spark, f"file://{tmp_path}/c")
     lines = ['{"cmd": "INSERT", "text": "a b", "meta": "1"}', '{"cmd": "MERGE"}', '{"cmd": "SEARCH", "text": "a AND b"}', '{"cmd": "DELETE", "meta": "1"}', '{"cmd": "SEARCH", "text": "a"}', '{"cmd": "SEGLEN"}', '{"cmd": "X"}']
     assert list(commands(index, lines)) == ["ok", "ok", "1", "ok", "0", "1", "error: X"]
+
+
+def _below_shuffles(plan: str, node: str) -> int:
+    """The shuffles that stand above a node in a plan that isn't adapted yet."""
+    lines = plan.splitlines()
+    at = next(k for k, line in enumerate(lines) if node in line)
+    depth, above = len(lines[at]) - len(lines[at].lstrip(" :+-*()0123456789")), 0
+    for line in reversed(lines[:at]):
+        d = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if d < depth:
+            depth, above = d, above + ("Exchange" in line)
+    return above
+
+
+def test_postings_meet_their_ordinals_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (2, "b c"), (None, "a")], "doc_id bigint, text string")
+    found = indexing.placed(docs)
+    assert sorted(((r.doc_id, r.term, r.tf) for r in found.where("doc_id is not null").collect())) == [(1, "a", 2), (1, "b", 1), (2, "b", 2), (2, "c", 1)]
+    assert [r.tf for r in found.where("doc_id is null and doc_ord is null").collect()] == [1]
+    assert _below_shuffles(indexing.placed(docs)._jdf.queryExecution().executedPlan().toString(), "Generate") == 0
+    assert _below_shuffles(indexing.build(docs)._jdf.queryExecution().executedPlan().toString(), "Generate") == 1
+
+
+def test_bitmaps_are_made_for_the_terms_asked(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    docs = spark.createDataFrame([(k, f"all w{k} {'even' if k % 2 == 0 else ''}") for k in range(700)], "doc_id bigint, text string")
+    store = IndexStore.save(docs, path)
+    assert "bitmaps" not in {p.name for p in tmp_path.joinpath("store").iterdir()}
+    assert "In(term, [all,even])" in store.bitmaps.where("term in ('all', 'even')")._jdf.queryExecution().executedPlan().toString()
+    assert searching.count_bitmaps(store.bitmaps, must(["all", "even"])).first()[0] == 350
+    assert searching.count_bitmaps(store.bitmaps, should(["w3", "even"])).first()[0] == 351
+
+
+def test_tasks_are_more_where_files_are_larger(spark, tmp_path):
+    spark.range(1 << 20).selectExpr("id doc_id", "uuid() text").coalesce(1).write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    assert spread(docs, 1) > 8 * spread(docs, 64)
