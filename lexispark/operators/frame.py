@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexispark.operators import slices
+
 
 def order(column: Column | str, descending: bool = False) -> Column:
     """Nulls last when ascending, first when descending: the opposite of Spark's default."""
@@ -50,11 +52,14 @@ def null_safe_join(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], how: s
 def over_groups(df: DataFrame, partition: list[str], by: str, begin: int, end: int, **aggregates: Column) -> DataFrame:
     """Aggregates over a GROUPS frame: from `begin` to `end` peer groups around the row's own.
 
-    Peer groups are numbered by dense_rank, and the frame is a range of those numbers.
+    Peer groups are numbered by dense_rank, and the frame is a range of those numbers. A bounded frame is
+    taken slice by slice, so a partition may be larger than a task; one without bounds takes a partition a task.
     """
-    ranked = df.withColumn("_group", F.dense_rank().over(W.partitionBy(*partition).orderBy(by)))
-    frame = W.partitionBy(*partition).orderBy("_group").rangeBetween(begin, end)
-    return ranked.select(*df.columns, *[a.over(frame).alias(n) for n, a in aggregates.items()])
+    bounded = max(abs(begin), abs(end)) < 1 << 31
+    rows, keys = (slices.near(slices.cut(df, partition, [by]), partition, [by], max(0, -begin), max(0, end), groups=True), [*partition, "_slice"]) if bounded else (df.withColumn("_own", F.lit(True)), partition)
+    ranked = rows.withColumn("_group", F.dense_rank().over(W.partitionBy(*keys).orderBy(by)))
+    frame = W.partitionBy(*keys).orderBy("_group").rangeBetween(begin, end)
+    return ranked.select(*df.columns, "_own", *[a.over(frame).alias(n) for n, a in aggregates.items()]).where("_own").drop("_own")
 
 
 def unnest(df: DataFrame, column: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import parity as P
 from lexispark.operators import frame as O
+from lexispark.operators import slices
 from lexispark.sources.tables import table as t
 
 Q: dict = {}
@@ -289,48 +290,76 @@ def _line(spark, sf):
     return t(spark, sf, "lineitem").select("l_returnflag", *_TOTAL)
 
 
+_FLAG = ["l_returnflag"]
+
+
 def _unique():
-    return W.partitionBy("l_returnflag").orderBy(*_TOTAL)
+    return slices.within(_FLAG).orderBy(*_TOTAL)
 
 
 def _key():
-    return W.partitionBy("l_returnflag").orderBy("l_orderkey")
+    return slices.within(_FLAG).orderBy("l_orderkey")
+
+
+def _sliced(spark, sf, back: int, ahead: int):
+    """Lines in slices of their order, with the rows before and behind each."""
+    return slices.near(slices.cut(_line(spark, sf), _FLAG, _TOTAL), _FLAG, _TOTAL, back, ahead)
+
+
+def _own(rows, *columns):
+    return rows.select("_own", *columns).where("_own").drop("_own")
 
 
 @query(f"""
 SELECT l_orderkey, l_linenumber, row_number() OVER u AS rn, rank() OVER k AS rk, dense_rank() OVER k AS dr, round(percent_rank() OVER k, 9) AS pr, round(cume_dist() OVER k, 9) AS cd,
   ntile(7) OVER u AS nt FROM lineitem WINDOW u AS ({_BY}), k AS (PARTITION BY l_returnflag ORDER BY l_orderkey)""")
 def win_rank(spark, sf):
-    return _line(spark, sf).select(
+    rows = slices.cut(_line(spark, sf), _FLAG, ["l_orderkey"])
+    found = slices.met(rows, slices.sums(rows, _FLAG, n=F.count("*"), keys=F.count_distinct(F.struct("l_orderkey"))), _FLAG)
+    ranked = found.select(
         "l_orderkey",
         "l_linenumber",
-        F.row_number().over(_unique()).cast("bigint").alias("rn"),
-        F.rank().over(_key()).cast("bigint").alias("rk"),
-        F.dense_rank().over(_key()).cast("bigint").alias("dr"),
-        F.round(F.percent_rank().over(_key()), 9).alias("pr"),
-        F.round(F.cume_dist().over(_key()), 9).alias("cd"),
-        F.ntile(7).over(_unique()).cast("bigint").alias("nt"),
+        "n_all",
+        (F.row_number().over(_unique()) + F.col("n")).alias("rn"),
+        (F.rank().over(_key()) + F.col("n")).alias("rk"),
+        (F.dense_rank().over(_key()) + F.col("keys")).alias("dr"),
+        (F.count("*").over(_key()) + F.col("n")).alias("upto"),
+    )
+    # of 7 buckets the first n % 7 have a row more
+    ranked = ranked.withColumns({"least": F.expr("n_all div 7"), "more": F.expr("n_all % 7")}).withColumn("wide", F.expr("more * (least + 1)"))
+    return ranked.select(
+        "l_orderkey",
+        "l_linenumber",
+        "rn",
+        "rk",
+        "dr",
+        F.round(F.when(F.col("n_all") > 1, (F.col("rk") - 1) / (F.col("n_all") - 1)).otherwise(0.0), 9).alias("pr"),
+        F.round(F.col("upto") / F.col("n_all"), 9).alias("cd"),
+        F.expr("CASE WHEN rn <= wide THEN (rn - 1) div (least + 1) ELSE more + (rn - 1 - wide) div least END + 1").alias("nt"),
     )
 
 
 @query(f"SELECT l_orderkey, l_linenumber, lag(l_quantity) OVER w AS lag1, lag(l_quantity, 2, -1) OVER w AS lag2, lead(l_quantity, 3) OVER w AS lead3 FROM lineitem WINDOW w AS ({_BY})")
 def win_lag_lead(spark, sf):
-    return _line(spark, sf).select("l_orderkey", "l_linenumber", F.lag("l_quantity").over(_unique()).alias("lag1"), F.lag("l_quantity", 2, -1.0).over(_unique()).alias("lag2"), F.lead("l_quantity", 3).over(_unique()).alias("lead3"))
+    return _own(_sliced(spark, sf, 2, 3), "l_orderkey", "l_linenumber", F.lag("l_quantity").over(_unique()).alias("lag1"), F.lag("l_quantity", 2, -1.0).over(_unique()).alias("lag2"), F.lead("l_quantity", 3).over(_unique()).alias("lead3"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, first_value(l_quantity) OVER w AS f, last_value(l_quantity) OVER w AS l, nth_value(l_quantity, 2) OVER w AS n2 FROM lineitem WINDOW w AS ({_BY} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
 def win_first_last_nth(spark, sf):
     w = _unique().rowsBetween(-2, 1)
-    return _line(spark, sf).select("l_orderkey", "l_linenumber", F.first("l_quantity").over(w).alias("f"), F.last("l_quantity").over(w).alias("l"), F.nth_value("l_quantity", 2).over(w).alias("n2"))
+    return _own(_sliced(spark, sf, 2, 1), "l_orderkey", "l_linenumber", F.first("l_quantity").over(w).alias("f"), F.last("l_quantity").over(w).alias("l"), F.nth_value("l_quantity", 2).over(w).alias("n2"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running, min(l_quantity) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS lo, round(avg(l_quantity) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 6) AS ahead FROM lineitem WINDOW w AS ({_BY})")
 def win_rows(spark, sf):
     q = F.col("l_quantity")
-    return _line(spark, sf).select(
+    rows = slices.cut(_line(spark, sf), _FLAG, _TOTAL)
+    before = slices.sums(rows, _FLAG, total=F.sum(q), values=F.count(q))
+    return _own(
+        slices.met(slices.near(rows, _FLAG, _TOTAL, 3, 4), before, _FLAG),
         "l_orderkey",
         "l_linenumber",
-        F.round(F.sum(q).over(_unique().rowsBetween(W.unboundedPreceding, 0)), 2).alias("running"),
+        F.round(slices.running(q, _unique().rowsBetween(W.unboundedPreceding, 0), "total", "values"), 2).alias("running"),
         F.min(q).over(_unique().rowsBetween(-3, 3)).alias("lo"),
         F.round(F.avg(q).over(_unique().rowsBetween(1, 4)), 6).alias("ahead"),
     )
@@ -338,7 +367,16 @@ def win_rows(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey RANGE BETWEEN 10 PRECEDING AND 5 FOLLOWING) AS near, round(sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey), 2) AS peers FROM lineitem")
 def win_range(spark, sf):
-    return _line(spark, sf).select("l_orderkey", "l_linenumber", F.count("*").over(_key().rangeBetween(-10, 5)).alias("near"), F.round(F.sum("l_quantity").over(_key()), 2).alias("peers"))
+    q = F.col("l_quantity")
+    rows = slices.cut(_line(spark, sf), _FLAG, ["l_orderkey"])
+    before = slices.sums(rows, _FLAG, total=F.sum(q), values=F.count(q))
+    return _own(
+        slices.met(slices.near_values(rows, _FLAG, "l_orderkey", 10, 5), before, _FLAG),
+        "l_orderkey",
+        "l_linenumber",
+        F.count("*").over(_key().rangeBetween(-10, 5)).alias("near"),
+        F.round(slices.running(q, _key(), "total", "values"), 2).alias("peers"),
+    )
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM lineitem")
@@ -348,7 +386,8 @@ def win_groups(spark, sf):
 
 @query("SELECT DISTINCT l_returnflag, round(sum(l_quantity) OVER (PARTITION BY l_returnflag), 2) AS whole FROM lineitem")
 def win_whole_partition(spark, sf):
-    return _line(spark, sf).select("l_returnflag", F.round(F.sum("l_quantity").over(W.partitionBy("l_returnflag")), 2).alias("whole")).distinct()
+    """A window over whole partitions says the same in all of a partition's rows, so what differs is an aggregate."""
+    return _line(spark, sf).groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("whole"))
 
 
 # sort, limit, set operations, unnest
