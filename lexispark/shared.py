@@ -58,14 +58,14 @@ def partitions(df: DataFrame) -> int:
     return max(conf, df.rdd.getNumPartitions())
 
 
-def spread(df: DataFrame, mb: int = 4) -> int:
-    """Partitions of about `mb` MB each of df's files, for what unfolds to far more than it is stored in; never fewer than `partitions`.
+def spread(df: DataFrame, mb: int = 4, least: int | None = None) -> int:
+    """Partitions of about `mb` MB each of df's files, for what unfolds to far more than it is stored in; never fewer than `least`, or else `partitions`.
 
     What a task holds then depends on `mb` and not on the size of df.
     """
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = found if found < 1 << 50 else 0  # frames of unknown size say more
-    return max(partitions(df), min(100_000, known // (mb << 20)))
+    return max(partitions(df) if least is None else least, min(100_000, known // (mb << 20)))
 
 
 def stored(df: DataFrame, name: str, sort_within: list[str] | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.shared import stored
+from lexispark.shared import spread
 from lexispark.text import search as searching
 from lexispark.text.query import Predicate
 from lexispark.text.tokenize import postings
@@ -154,13 +154,15 @@ class SegmentedIndex:
     def flush(self) -> bool:
         """Write the documents that are pending now as a segment, however few; False if there are none."""
         folders = self._queue()
-        last = self._queued(folders).groupBy("doc_id").agg(F.max_by(F.struct("text"), F.struct("added", "nth"))["text"].alias("text"))
-        queued = stored(last, "queued")
-        n = queued.count()
-        if not n:
+        queued = self._queued(folders)
+        if queued.isEmpty():
             return False
+        # texts are dealt by document, and the terms of the last version are counted there; small queues make few files
+        dealt = queued.repartition(spread(queued, 8, least=1), "doc_id")
+        last = dealt.groupBy("doc_id").agg(F.max_by(F.struct("text"), F.struct("added", "nth"))["text"].alias("text"))
         seg = self._next()
-        self._write(seg, postings(queued), queued.select("doc_id"))
+        self._write(seg, postings(last), queued.select("doc_id").distinct())
+        n = self._count(seg)
         with self._lock:
             self._publish(self._manifest() | {seg: (n, seg)})
         for folder in folders:
@@ -180,6 +182,9 @@ class SegmentedIndex:
         found.select("doc_id", "term", "tf").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{self.path}/postings/seg_id={seg}")
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/seg_id={seg}")
 
+    def _count(self, seg: int) -> int:
+        return self.spark.read.schema("doc_id bigint").parquet(f"{self.path}/docs/seg_id={seg}").count()
+
     def delete_documents(self, ids: DataFrame, doc_id: str = "doc_id") -> None:
         """Hide documents in all segments there are."""
         upto = max(self.segments(), default=0)
@@ -237,7 +242,7 @@ class SegmentedIndex:
             seg = self._next()
             docs = self.live_docs().where(F.col("seg_id").isin(group)).select("doc_id")
             self._write(seg, self.live_postings().where(F.col("seg_id").isin(group)), docs)
-            n = self.spark.read.schema("doc_id bigint").parquet(f"{self.path}/docs/seg_id={seg}").count()
+            n = self._count(seg)
             with self._lock:
                 self._publish({s: k for s, k in self._manifest().items() if s not in group} | {seg: (n, born)})
         finally:

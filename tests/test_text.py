@@ -246,3 +246,19 @@ def test_tasks_are_more_where_files_are_larger(spark, tmp_path):
     spark.range(1 << 20).selectExpr("id doc_id", "uuid() text").coalesce(1).write.parquet(f"file://{tmp_path}/docs")
     docs = spark.read.parquet(f"file://{tmp_path}/docs")
     assert spread(docs, 1) > 8 * spread(docs, 64)
+
+
+def test_flush_counts_terms_where_documents_are(spark, tmp_path, monkeypatch):
+    index = SegmentedIndex(spark, f"file://{tmp_path}/flush")
+    plans, write = [], index._write
+
+    def seen(seg, found, docs):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        write(seg, found, docs)
+
+    monkeypatch.setattr(index, "_write", seen)
+    index.add_documents(spark.createDataFrame([(1, "old"), (2, "b b"), (1, "new"), (3, None)], "doc_id bigint, text string").coalesce(1))
+    assert index.flush() and not index.flush()
+    assert _below_shuffles(plans[0], "Generate") == 0
+    assert index.segments() == {1: 3}
+    assert sorted((r.doc_id, r.term, r.tf) for r in index.live_postings().collect()) == [(1, "new", 1), (2, "b", 2)]
