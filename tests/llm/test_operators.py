@@ -88,6 +88,25 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_bpe_columns_as_texts_one_by_one(monkeypatch):
+    """Columns of texts, also in small groups, beside long texts and sliced, get the library's ids; words with marks behind take no room in the cache."""
+    import pyarrow as pa
+
+    from lexispark.llm import word_bpe
+
+    own, library = word_bpe.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    texts = ["", None, "  ", " a  b\t\nc\x0b ", "<|endoftext|> A <|x", "É'S ÀB. İx ß ǅ 12.5 x's;y", "ſs ŉa K Å á 中文 a\x1cb a\x85b", "Straße, naïve!! don't \"quoted\" a\\ [b] c_ 7.", "long words. " * 9]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for group, step in ((word_bpe.GROUP, word_bpe.STEP), (20, 40), (1, 4)):
+        monkeypatch.setattr(word_bpe, "GROUP", group)
+        monkeypatch.setattr(word_bpe, "STEP", step)
+        assert [np.frombuffer(bytes(i), "<u4").tolist() for i in own.encode_all(pa.array(texts))] == want
+        assert [np.frombuffer(bytes(i), "<u4").tolist() for i in own.encode_all(pa.array(["x y", *texts])[1:])] == want
+    assert list(own.encode_all(pa.array([], pa.string()))) == []
+    assert b"words" in own.words
+    assert b"words." not in own.words
+
+
 def test_vocabulary_that_keeps_blanks_is_refused():
     from lexispark.llm.word_bpe import WordEncoder
 
