@@ -7,11 +7,11 @@ Everything is a table; none grows a column with the vocabulary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.shared import partitions, spread, stored
-from lexispark.text.tokenize import MAX_TF, terms
+from lexispark.text.tokenize import MAX_TF, SEPARATOR, terms
 
 BLOCK = 512
 
@@ -77,6 +77,38 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", first: in
     return folded(entries(found.drop("doc_id")).repartition(spread(docs), "term", "block"))
 
 
+def block_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mb: int = 4) -> DataFrame:
+    """(term, block, n_docs, sum_tf) of a corpus: what its blocks come to, without their postings. Rows of null id have no block.
+
+    Documents are dealt by slices of whole blocks, about `mb` MB of files each, so texts move once and are cut,
+    counted and summed where they are. Only the first id of each slice comes to the driver; a document finds its
+    slice among those by bisection.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    n = spread(docs, mb)
+    ords = stored(ordinals(rows), "ordinals")
+    size = BLOCK * max(1, -(-ords.count() // (BLOCK * n)))
+    firsts = [r.doc_id for r in ords.where(F.col("doc_ord") % size == 0).orderBy("doc_ord").collect()]
+    slices = max(1, len(firsts))
+    low, high = F.lit(0), F.lit(slices)
+    starts = F.array(*map(F.lit, firsts)).cast(f"array<{dict(ords.dtypes)['doc_id']}>")
+
+    def halved(at, _):
+        middle = F.floor((at.low + at.high) / 2).cast("int")
+        right = F.get(starts, middle) <= F.col("doc_id")
+        return F.struct(F.when(right, middle).otherwise(at.low).alias("low"), F.when(right, at.high).otherwise(middle).alias("high"))
+
+    if slices > 1:
+        low = F.aggregate(F.sequence(F.lit(1), F.lit((slices - 1).bit_length())), F.struct(low.alias("low"), high.alias("high")), halved, lambda at: at.low)
+    dealt = rows.select("doc_id", "text", low.alias("slice")).repartition(n, "slice")
+    nth = F.dense_rank().over(Window.partitionBy("slice").orderBy("doc_id")) - 1
+    placed = dealt.select("slice", "doc_id", (F.col("slice") * (size // BLOCK) + F.floor(nth / BLOCK)).cast("int").alias("block"), "text")
+    found = placed.select("slice", "doc_id", "block", F.explode(F.split(F.lower("text"), SEPARATOR)).alias("term")).where("term <> ''")
+    counted = found.groupBy("slice", "block", "doc_id", "term").agg(F.least(F.count("*"), F.lit(MAX_TF)).alias("tf"))
+    summed = counted.groupBy("slice", "block", "term").agg(F.count("*").cast("int").alias("n_docs"), F.sum("tf").alias("sum_tf"))
+    return summed.select("term", "block", "n_docs", "sum_tf")
+
+
 def flat(index: DataFrame) -> DataFrame:
     """(doc_ord, term, tf) of a block index."""
     entry = F.explode(F.arrays_zip("offs", "tfs")).alias("e")

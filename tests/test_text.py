@@ -262,3 +262,23 @@ def test_flush_counts_terms_where_documents_are(spark, tmp_path, monkeypatch):
     assert _below_shuffles(plans[0], "Generate") == 0
     assert index.segments() == {1: 3}
     assert sorted((r.doc_id, r.term, r.tf) for r in index.live_postings().collect()) == [(1, "new", 1), (2, "b", 2)]
+
+
+def test_block_stats_move_texts_once(spark, monkeypatch):
+    """Blocks are counted where their texts are; repeated and null ids, null and empty texts, and many slices give what the postings say."""
+    from pyspark.sql import functions as F
+
+    rows = [(k * 7 - 3000, f"the w{k % 50} The x{k}") for k in range(1500)] + [(-3000, "again the"), (None, "lost the"), (9, None), (10**12, ""), (10**12 + 1, "last " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = docs.where("doc_id is not null")
+    want = sorted((r.term, r.block, len(r.offs), sum(r.tfs)) for r in indexing.build(kept).collect())
+    found = indexing.block_stats(docs)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert {r[1] for r in want} == {0, 1, 2}
+    assert _below_shuffles(found._jdf.queryExecution().executedPlan().toString(), "Generate") == 0
+    monkeypatch.setattr(indexing, "BLOCK", 8)
+    want = sorted((r.term, r.block, len(r.offs), sum(r.tfs)) for r in indexing.build(kept).collect())
+    monkeypatch.setattr(indexing, "spread", lambda docs, mb=4: 33)
+    assert sorted(tuple(r) for r in indexing.block_stats(docs).collect()) == want
+    assert indexing.block_stats(docs.limit(0)).count() == 0
+    assert indexing.block_stats(docs.where("doc_id is null")).select(F.count("*")).first()[0] == 0
