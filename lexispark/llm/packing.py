@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import columns, each, lean, stored, table
+from lexispark.llm.common import columns, lean, stored, table
 from lexispark.llm.word_bpe import encoder
 
 LENGTH = 4096
@@ -202,12 +202,12 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int =
         schema = pa.schema(_PIECE + ([("ids", pa.binary())] if with_ids else []))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
-                ids = words.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1)), strict=True):
+                ids = bytes(ids) + end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at : at + 4 * length]
                     size = len(own) // 4
-                    rows.append((doc_id, k, at // 4, size, zlib.crc32(own), part, met[size], own))
+                    rows.append((doc_id, k, at // 4, size, zlib.crc32(own), part, met[size], *[own] * with_ids))
                     met[size] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 

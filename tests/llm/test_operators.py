@@ -88,6 +88,23 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_word_cache_takes_little_memory():
+    """Both halves of a full cache of words stay under 120 MB in a worker: two workers share an executor with its JVM."""
+    import tracemalloc
+
+    from lexispark.llm import word_bpe
+
+    words = word_bpe.Cache(lambda word: (word * 2, True), word_bpe.CACHE_WORDS)
+    tracemalloc.start()
+    for k in range(2 * 500_000 - 1):
+        words[b"w%09d" % k]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(words) <= word_bpe.CACHE_WORDS
+    assert len(words.old) <= word_bpe.CACHE_WORDS
+    assert held < 120 << 20
+
+
 def test_word_bpe_columns_as_texts_one_by_one(monkeypatch):
     """Columns of texts, also in small groups, beside long texts and sliced, get the library's ids; words with marks behind take no room in the cache."""
     import pyarrow as pa
